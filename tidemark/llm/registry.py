@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL, for ``__spark_entry__``."""
 
-from . import quality, rules, toxicity
+from . import decontaminate, packing, quality, rules, tokens, toxicity
 
 
 def queries() -> dict:
@@ -8,8 +8,11 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             quality.op1_quality_classifier,
+            decontaminate.op2_decontamination,
+            packing.op3_packing,
             toxicity.op5_toxicity,
             rules.op7_quality_rules,
+            tokens.op8_token_counts,
         )
     }
 
