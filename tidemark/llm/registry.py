@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL, for ``__spark_entry__``."""
 
-from . import decontaminate, packing, quality, rules, tokens, toxicity
+from . import decontaminate, near, packing, quality, rules, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
             quality.op1_quality_classifier,
             decontaminate.op2_decontamination,
             packing.op3_packing,
+            near.op4_jaccard_join,
             toxicity.op5_toxicity,
             rules.op7_quality_rules,
             tokens.op8_token_counts,
