@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, prepare, stable_order, table, utf8
+from .common import fold, prepare, saved, stable_order, table, utf8
 
 #: Bound of the fit: that many labelled texts of each class, first by a hash of the id, and of these as
 #: many whole texts as fit the bytes. Scoring covers all rows.
@@ -27,34 +27,35 @@ MAX_TEXTS = 3000
 MAX_BYTES = 24_000_000
 DICT_BYTES = 112_640
 LEVEL = 3
+#: A document is kept at this score; a wrongly lost clean text costs more than a kept bad one.
+THRESHOLD = 0.3
+
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, admits, bound: int, id_col="doc_id", text_col="text"):
+    """A table (id, text, y) of at most ``bound`` documents of each class, and the classes' sizes.
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, text, y) of the documents that ``train`` (a condition on the id) admits."""
-    y = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(train("id"))
-    return d.join(y, "id")
+    The labels alone choose the ids: of those that ``admits`` (a condition on the id column), each class's
+    first by a hash of the id. At most 2 * bound ids are sent to the scan of the documents, so that no
+    text is shuffled; repeated documents of one id count once.
+    """
+    y = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y")).filter(admits("id"))
+    sizes = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    firsts = [y.filter(F.col("y") == v).orderBy(stable_order("id"), "id").limit(bound) for v in (0, 1)]
+    chosen = F.broadcast(firsts[0].unionByName(firsts[1]))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return saved(d.join(chosen, "id").groupBy("id").agg(F.max("text").alias("text"), F.max("y").alias("y")), "labelled"), sizes
 
 
-def bounded(rows: DataFrame, n: int, max_bytes: int) -> list[str]:
-    """At most ``n`` whole texts, in the order of a hash of their id, within ``max_bytes``."""
+def bounded(rows: DataFrame, max_bytes: int) -> list[str]:
+    """Whole texts in the order of a hash of their id, as many as fit ``max_bytes``, and at least one."""
     r = rows.withColumn("o", stable_order("id"))
-    keys = r.select("o", F.octet_length("text").alias("b")).orderBy("o", "b").limit(n).collect()
     total, last = 0, None
-    for k in keys:
+    for k in r.select("o", F.octet_length("text").alias("b")).orderBy("o", "b").collect():
         total += k.b
         if total > max_bytes and last is not None:
             break
         last = k.o
-    return [] if last is None else [x.text for x in r.filter(F.col("o") <= last).select("o", "text").orderBy("o", "text").limit(len(keys)).collect()]
-
-
-def first_rows(rows: DataFrame, n: int) -> DataFrame:
-    """About the first ``n`` rows (ties of the last one included) in the order of a hash of their id;
-    only that order's values pass through the driver, not the rows."""
-    r = rows.withColumn("o", stable_order("id"))
-    last = r.select("o").orderBy("o").limit(n).agg(F.max("o")).first()[0]
-    return r.filter(F.lit(False) if last is None else F.col("o") <= last).drop("o")
+    return [] if last is None else [x.text for x in r.filter(F.col("o") <= last).orderBy("o", "text").select("text").collect()]
 
 
 def train_dict(texts: list[bytes]) -> bytes:
@@ -129,11 +130,8 @@ def calibrate(model: dict, share_good: float) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, admits, label="quality", id_col="doc_id", text_col="text") -> dict:
-    rows = labelled(docs, labels, label, admits, id_col, text_col)
-    share = rows.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in share}
-    texts = [bounded(rows.filter(F.col("y") == y).drop("y"), MAX_TEXTS, MAX_BYTES) for y in (1, 0)]
-    model = fit(*texts)
+    rows, n = labelled(docs, labels, label, admits, MAX_TEXTS, id_col, text_col)
+    model = fit(*(bounded(rows.filter(F.col("y") == y), MAX_BYTES) for y in (1, 0)))
     return calibrate(model, n[1] / (n[0] + n[1])) if n.get(0) and n.get(1) else model
 
 
@@ -165,7 +163,16 @@ def quality_scores(docs: DataFrame, model: dict, id_col="doc_id", text_col="text
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
 
 
-THRESHOLD = 0.3
+def kept_rows(docs: DataFrame, model: dict, text_col="text") -> DataFrame:
+    """The rows of ``docs``, whole, that the model scores THRESHOLD or more."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        score = scorer(model)
+        for b in batches:
+            yield b[score(b[text_col]) >= THRESHOLD]
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 def op1_quality_classifier(spark, sf_dir):

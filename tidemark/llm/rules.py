@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hash_words, plain_words, prepare, rolling, saved, table, utf8
-from .quality import first_rows, labelled
+from .common import fold, hash_words, plain_words, prepare, rolling, table, utf8
+from .quality import labelled
 
-#: Bound of the fit: that many labelled rows, first by a hash of the id.
-MAX_ROWS = 20_000
+#: Bound of the fit: that many labelled rows of each class, first by a hash of the id.
+MAX_ROWS = 10_000
 WINDOW = 8
 MIN_WORDS = 20
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct_words"]
@@ -146,9 +146,8 @@ def learn(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, max_rules:
 
 
 def train(docs: DataFrame, labels: DataFrame, admits=lambda c: F.lit(True), label="quality", id_col="doc_id", text_col="text") -> list[dict]:
-    some = first_rows(labelled(docs, labels, label, admits, id_col, text_col), MAX_ROWS)
-    y = some.select("id", "y")
-    s = saved(with_features(text_stats(saved(some, "rules-sample"), "id")).withColumnRenamed("doc_id", "id").join(y, "id"), "rules-stats")
+    some, _ = labelled(docs, labels, label, admits, MAX_ROWS, id_col, text_col)
+    s = with_features(text_stats(some, "id")).withColumnRenamed("doc_id", "id").join(some.select("id", "y"), "id")
     rows = s.select("id", "y", *FEATURES).orderBy("id").toPandas()
     return learn(rows[list(FEATURES)].to_numpy(float), (rows["y"] == 0).to_numpy())
 

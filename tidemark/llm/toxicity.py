@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fold, hash_words, letter_words, mix, prepare, saved, table
-from .quality import first_rows, labelled
+from .common import U64, fold, hash_words, letter_words, mix, prepare, table
+from .quality import labelled
 
 BUCKETS = 1 << 20
 RANK = 4
@@ -97,12 +97,8 @@ def fit(samples: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float =
 
 def train(docs: DataFrame, labels: DataFrame, admits, label="toxic", id_col="doc_id", text_col="text") -> dict:
     """Fit on a bounded sample; the intercept is shifted to the classes' shares among all labelled rows."""
-    rows = labelled(docs, labels, label, admits, id_col, text_col)
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    parts = []
-    for y in (0, 1):
-        some = saved(with_terms(first_rows(rows.filter(F.col("y") == y), MAX_TEXTS)), "toxic-terms")
-        parts += some.collect()
+    rows, n = labelled(docs, labels, label, admits, MAX_TEXTS, id_col, text_col)
+    parts = with_terms(rows).collect()
     parts.sort(key=lambda r: (r.y, bytes(r.terms)))
     got = np.array([r.y for r in parts], float)
     model = fit([np.frombuffer(r.terms, "<i4") for r in parts], got)
@@ -136,6 +132,18 @@ def toxicity_scores(docs: DataFrame, model: dict, id_col="doc_id", text_col="tex
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
 
 
+def kept_rows(docs: DataFrame, model: dict, text_col="text") -> DataFrame:
+    """The rows of ``docs``, whole, that the model scores below THRESHOLD."""
+    spark = prepare(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            yield b[[raw_score(sent.value, t) < THRESHOLD for t in b[text_col]]]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, lambda c: fold(c, 4) != 2)
