@@ -59,6 +59,16 @@ def smallest(shingles: Column, constant: int) -> Column:
     return F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(constant))))
 
 
+def of_block(constant: int):
+    return lambda block: smallest(block, constant)
+
+
+def fenced(d: DataFrame, *columns) -> DataFrame:
+    """``d.select(columns)`` that the optimizer neither merges with the next step nor pushes filters
+    through, so that each expression is evaluated once a row: a generator of one row stands between."""
+    return d.select(F.inline(F.array(F.struct(*columns))))
+
+
 def band_key(smallest_hash: Column, order: int) -> Column:
     return F.xxhash64(smallest_hash, F.lit(order))
 
@@ -71,36 +81,35 @@ def template_rows(spark) -> DataFrame:
 
 
 def template_keys(templates: DataFrame) -> DataFrame:
-    """(key, template) of every template window in every band."""
+    """(order, key, template) of every template window in every band."""
     size = 2 * BLOCK
     last = F.greatest(F.size("shingles") - size, F.lit(0))
     w = templates.select("template", F.explode(F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.slice("shingles", i, size))).alias("w"))
     keys = F.array(*(band_key(smallest(F.col("w"), c), k) for k, c in enumerate(ORDERS)))
-    return w.select("template", F.explode(keys).alias("key")).distinct()
+    return w.select("template", F.posexplode(keys).alias("order", "key")).distinct()
 
 
 def license_matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, license, template, contained): templates that a text holds; ``contained`` is their share."""
     spark = docs.sparkSession
     templates = template_rows(spark).cache()
-    known = [(r.key, r.template) for r in template_keys(templates).collect()]
+    known = [(r.order, r.key, r.template) for r in template_keys(templates).collect()]
     wanted = {r.template: (r.license, r.wanted) for r in templates.collect()}
     templates.unpersist()
-    keys = sorted({k for k, _ in known})
-    d = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    d = d.select("doc_id", shingles_of(F.col("words")).alias("shingles")).filter(F.size("shingles") > 0)
-    n_blocks = F.ceil(F.size("shingles") / F.lit(BLOCK)).cast("int")
-    starts = F.sequence(F.lit(0), n_blocks - 1)
-    for_order = lambda c: F.transform(starts, lambda b: smallest(F.slice("shingles", b * BLOCK + 1, BLOCK), c))
-    d = d.select("doc_id", "shingles", *(for_order(c).alias(f"m{k}") for k, c in enumerate(ORDERS)))
+    by_order = [sorted({k for o, k, _ in known if o == order}) for order in range(BANDS)]
+    d = fenced(docs, F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    d = fenced(d, "doc_id", shingles_of(F.col("words")).alias("shingles")).filter(F.size("shingles") > 0)
+    starts = F.sequence(F.lit(0), F.ceil(F.size("shingles") / F.lit(BLOCK)).cast("int") - 1)
+    d = fenced(d, "doc_id", "shingles", F.transform(starts, lambda b: F.slice("shingles", b * BLOCK + 1, BLOCK)).alias("blocks"))
+    d = fenced(d, "doc_id", "shingles", *(F.transform("blocks", of_block(c)).alias(f"m{k}") for k, c in enumerate(ORDERS)))
 
     def hits(k: int) -> Column:
         m = F.col(f"m{k}")
         window = F.transform(m, lambda x, i: band_key(F.least(x, F.get(m, i + 1)), k))
-        return F.filter(window, lambda key: key.isin(keys))
+        return F.filter(window, lambda key: key.isin(by_order[k]))
 
-    d = d.select("doc_id", "shingles", F.array_distinct(F.concat(*(hits(k) for k in range(BANDS)))).alias("hits")).filter(F.size("hits") > 0)
-    by_template = {t: sorted({k for k, x in known if x == t}) for t in wanted}
+    d = fenced(d, "doc_id", "shingles", F.array_distinct(F.concat(*(hits(k) for k in range(BANDS)))).alias("hits")).filter(F.size("hits") > 0)
+    by_template = {t: sorted({k for _, k, x in known if x == t}) for t in wanted}
     literal = lambda values: F.array(*(F.lit(v) for v in values))
     has = lambda some: lambda h: h.isin(some)
     found = [
@@ -127,8 +136,8 @@ def oracle_sql() -> str:
     """The same by exact containment over all pairs of a document and a template."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quote(n)}, {quote(t)})" for i, (n, t) in enumerate(TEMPLATES))
-    split = lambda t: rf"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
-    grams = lambda w: f"list_distinct(list_transform(range(1, len({w}) - {SHINGLE - 2}), i -> {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2]))"
+    split = lambda t: rf"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    grams = lambda w: f"list_distinct(list_transform(range(1, len({w}) - {SHINGLE - 2}), lambda i: {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2]))"
     return (
         f"WITH t AS (SELECT template, license, {split('text')} AS w FROM (VALUES {values}) v(template, license, text)), "
         f"tg AS (SELECT template, license, unnest({grams('w')}) AS g, len({grams('w')}) AS n FROM t), "
