@@ -1,45 +1,66 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again.
+
+Rows without a doc_id pass the filters on their text like all others; as they can't be told apart by id,
+the near-duplicate stage keeps them all.
+"""
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, toxicity
-from tidemark.llm.common import fold, shared_dir, table
-
-#: Columns that all stages but the last return.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def keep(docs, verdicts, condition):
-    """The rows of ``docs`` whose id has a verdict that meets ``condition``."""
-    good = verdicts.filter(condition).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(COLUMNS)
+from tidemark.llm import decontaminate, near, packing, quality, toxicity
+from tidemark.llm.common import fold, saved, shared_dir, table
 
 
 def quality_stage(spark, docs, sf_dir):
     """Drop what the quality classifier rejects. It learns from the labelled rows among its input."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), lambda c: fold(c, 5) != 0)
-    return quality.kept_rows(docs, model).select(COLUMNS)
+    return quality.kept_rows(docs, model)
 
 
 def toxicity_stage(spark, docs, sf_dir):
     """Drop what the toxicity classifier rejects."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda c: fold(c, 4) != 2)
-    return toxicity.kept_rows(docs, model).select(COLUMNS)
+    return toxicity.kept_rows(docs, model)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of each group of linked documents keep the one with the smallest doc_id."""
+    found = near.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    kept = saved(found, "kept-ids")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if kept.filter("copies > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Drop documents that hold benchmark passages beyond the contract's share."""
+    return decontaminate.kept_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Pack what is left into sequences of 2048 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality classifier", quality_stage), ("toxicity", toxicity_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: Trained models and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to ``documents``; each stage's result is a table in the shared folder."""
+    """Apply the stages to ``documents``; what a stage returns is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}-{name.replace(' ', '-')}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}-{name.replace(' ', '-')}")
+        out.write.parquet(f"{base}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

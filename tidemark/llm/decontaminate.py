@@ -16,6 +16,7 @@ Extra columns are ignored.
 """
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,8 +101,8 @@ class Index:
                 out.setdefault(d, {}).setdefault(self.names[item], []).append((lo + int(a) - int(at[d]), lo + int(b) - int(at[d])))
 
 
-def blocks(benchmark: DataFrame, item_col="item_id", text_col="text") -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, one collected at a time by the caller's loop."""
+def blocks(benchmark: DataFrame, item_col="item_id", text_col="text") -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """(is it the last, items) by block of bounded size, one collected at a time."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // BLOCK_BYTES))
@@ -174,6 +175,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     return out
 
 
+def kept_rows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs``, whole, that are not contaminated. With one block of items a single pass
+    filters them; with several, the verdicts are joined by id."""
+    prepare(docs.sparkSession)
+    found = blocks_if_one(benchmark)
+    if not found:
+        bad = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(found[0])
+
+    def run(batches):
+        index = Index(sent.value)
+        for b in batches:
+            h, at = hash_texts(b[text_col], letter_words)
+            hits = index.hits(h, at)
+            n = np.diff(at)
+            hit = [sum(y - x for x, y in merged([list(s) for spans in hits.get(i, {}).values() for s in spans])) for i in range(len(b))]
+            yield b[(np.array(hit) == 0) | (20 * np.array(hit) < n)]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
+def blocks_if_one(benchmark: DataFrame) -> list:
+    """The items, if they are one block."""
+    first = next(blocks(benchmark))
+    return [first[1]] if first[0] else []
+
+
 def op2_decontamination(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
