@@ -1,14 +1,16 @@
 """Token ids by a public tokenizer, and the exact length histogram with its suffix sums.
 
-Texts are encoded chunk by chunk, a chunk being a space and what follows it up to the next one. The
-vocabulary's pattern never joins text before a space that follows a visible character with text after it,
-so that chunks encode alone as they do inside the text; texts where a space follows white space are
-encoded whole. Each worker keeps the ids of chunks it has met.
+The ids are those of the ``tokenizers`` library for a byte-level BPE file. The same vocabulary, read from
+that file, also drives ``tiktoken``, which is several times faster; it encodes the texts made of
+characters below U+0250 (where both split alike) without the special token's string, and ``tokenizers``
+encodes all others. An encoder compares both on probes when it is made, and uses ``tokenizers`` alone if
+they differ or the file is of another kind.
 
 Cases: a null text is empty: no ids but the closing one. Very long texts are encoded whole. Repeated rows
 count as often as they occur. An empty table gives an empty histogram. Extra columns are ignored.
 """
 
+import os
 import re
 
 import numpy as np
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import prepare, saved, table
 
 END = 1
-CACHE = 600_000
-#: White space before a space, or anywhere white space other than single spaces could join chunks.
-UNSAFE = re.compile(r"\s |^ ")
+#: How byte-level BPE vocabularies of this kind split text before merging: a fixed value.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+UNUSUAL = re.compile("[^\x00-\u024f]")
+PROBES = ["", " ", "Hello world, it's we'll  12 34,5\n\n x\t", "na\u00efve caf\u00e9 \u00e7a  \u00fc\u00df. ###!! <a|b>"]
 
 
 def default_path() -> str:
@@ -30,38 +33,47 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_names() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: visible Latin-1 characters
+    stand for themselves, the other bytes for the characters from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, without the closing id."""
 
     def __init__(self, path: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self.same_vocabulary()
+
+    def same_vocabulary(self):
+        import tiktoken
+
+        names = byte_names()
+        ranks = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        try:
+            ranks = {bytes(names[c] for c in t): i for t, i in ranks.items()}
+            fast = tiktoken.Encoding("same", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            same = [fast.encode_ordinary(t) for t in PROBES] == [e.ids for e in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        except (KeyError, ValueError):
+            return None
+        return fast.encode_ordinary if same else None
+
+    def one(self, text: str) -> bytes:
+        if self.fast is None or UNUSUAL.search(text) or any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast(text)
+        return np.array(ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, plans, new = self.known, [], {}
-        if len(known) > CACHE:
-            known.clear()
-        for t in texts:
-            if UNSAFE.search(t):
-                plans.append(None)
-                continue
-            parts = t.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            plans.append(parts)
-            for p in parts:
-                if p not in known:
-                    new[p] = None
-        fresh = list(new)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            known.update(zip(some, self.whole(some)))
-        odd = iter(self.whole([t for t, p in zip(texts, plans) if p is None]))
-        return [next(odd) if p is None else b"".join([known[x] for x in p]) for p in plans]
+        return [self.one(t) for t in texts]
 
 
 def texts_of(column) -> list[str]:
