@@ -13,10 +13,13 @@ from .bindings import duck, spark_table
 
 FLAGSHIP = "plan_summary"
 NOW = "TIMESTAMP '1998-01-01 00:00:00'"
-now = F.expr(NOW)
 _QUERIES: dict[str, tuple] = {}
 
 
+def now():
+    return F.expr(NOW)
+
+
 def query(sql: str | None = None):
     def add(f):
         _QUERIES[f.__name__] = (f, sql)
@@ -101,13 +104,13 @@ def job_permissions(t):
 
 @query(f"SELECT job_id, retry_count, next_retry_at FROM ({{job_retries}}) WHERE retry_count < max_retries AND next_retry_at <= {NOW} ORDER BY next_retry_at, job_id LIMIT 100")
 def due_retries(t):
-    return jobs.due_retries(t("job_retries"), now).select("job_id", "retry_count", "next_retry_at")
+    return jobs.due_retries(t("job_retries"), now()).select("job_id", "retry_count", "next_retry_at")
 
 
 @query(f"""SELECT r.job_id, CASE WHEN status IN ('completed','cancelled') THEN 'drop' WHEN status IN {ACTIVE} THEN 'wait' WHEN status IS NULL THEN 'drop' ELSE 'enqueue' END AS action
  FROM ({{job_retries}}) r LEFT JOIN ({{jobs}}) j ON r.job_id = j.job_id WHERE retry_count < max_retries AND next_retry_at <= {NOW}""")
 def retry_actions(t):
-    return jobs.retry_actions(t("job_retries"), t("jobs"), now)
+    return jobs.retry_actions(t("job_retries"), t("jobs"), now())
 
 
 @query("SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM ({job_retries}) WHERE retry_count < max_retries) THEN 'schedule' ELSE 'purge' END AS action FROM ({jobs}) WHERE status = 'failed'")
@@ -117,22 +120,22 @@ def failure_actions(t):
 
 @query(f"SELECT job_id, status FROM ({{jobs}}) WHERE NOT (status IN ('completed','failed','cancelled') AND updated_at < {NOW})")
 def retention(t):
-    return mutate.retention(t("jobs"), {}, now)["jobs"].select("job_id", "status")
+    return mutate.retention(t("jobs"), {}, now())["jobs"].select("job_id", "status")
 
 
 @query(f"SELECT * FROM ({{job_retries}}) WHERE job_id NOT IN (SELECT job_id FROM ({{jobs}}) WHERE status IN ('completed','failed','cancelled') AND updated_at < {NOW})")
 def retention_children(t):
-    return mutate.retention(t("jobs"), {"job_retries": t("job_retries")}, now)["job_retries"]
+    return mutate.retention(t("jobs"), {"job_retries": t("job_retries")}, now())["job_retries"]
 
 
 @query(f"SELECT k, updated_at FROM (SELECT 'job-' || l_orderkey AS k, max(l_shipdate) AS updated_at FROM {{lineitem}} GROUP BY 1) x WHERE NOT (updated_at < {NOW}) OR k IN (SELECT job_id FROM ({{jobs}}))")
 def orphans_removed(t):
     keys = t("lineitem").groupBy(F.concat(F.lit("job-"), F.col("l_orderkey").cast("string")).alias("job_id")).agg(F.max("l_shipdate").alias("updated_at"))
-    return mutate.orphans_removed(keys, t("jobs"), now).select(F.col("job_id").alias("k"), "updated_at")
+    return mutate.orphans_removed(keys, t("jobs"), now()).select(F.col("job_id").alias("k"), "updated_at")
 
 
 def _changes(t):
-    return t("jobs").filter("k % 5 = 0").withColumns({"status": F.lit("completed"), "created_at": now, "current_size": F.col("total_size")})
+    return t("jobs").filter("k % 5 = 0").withColumns({"status": F.lit("completed"), "created_at": now(), "current_size": F.col("total_size")})
 
 
 def _new(t):
@@ -161,7 +164,7 @@ def delete_rows(t):
 def retry_attempt(t):
     r = t("job_retries").withColumn("h", F.length("job_id") + F.round(F.unix_timestamp("last_retry_at") / 86400).cast("long"))
     attempts = r.filter("h % 3 < 2").select("job_id", (F.col("h") % 3 == 0).alias("success"))
-    return mutate.retry_attempt(t("job_retries"), attempts, now)
+    return mutate.retry_attempt(t("job_retries"), attempts, now())
 
 
 @query("""WITH r AS (SELECT event_type AS scope, 'u' || user_id AS key, 'f' || (event_id % 2) AS fingerprint, event_id AS seq, ts AS at FROM {events}),
@@ -422,7 +425,7 @@ def region_health(t):
 
 @query(f"SELECT job_id, file_path FROM ({{transfer_states}}) WHERE updated_at >= {NOW} - INTERVAL '200' DAY ORDER BY updated_at DESC, job_id, file_path LIMIT 1000")
 def cache_cleanup(t):
-    return changes.cache_cleanup(t("transfer_states"), now, 200 * 86400, 1000).select("job_id", "file_path")
+    return changes.cache_cleanup(t("transfer_states"), now(), 200 * 86400, 1000).select("job_id", "file_path")
 
 
 @query(f"SELECT job_id, priority FROM ({{jobs}}) WHERE status IN {ACTIVE}")
