@@ -32,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends at files that
-    survive the loss of any executor. Tables stay until ``forget`` or the folder's own clean-up."""
+    survive the loss of any executor. Tables stay until ``forget`` or the folder's own clean-up. ``few``: small rows, in no more files than cores."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(4 * max(1, spark.sparkContext.defaultParallelism // 4))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

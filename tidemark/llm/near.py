@@ -13,9 +13,11 @@ Sets are the distinct 5-word shingles of a text; two sets link when 100 * |A & B
   Sets near it go both ways, so that no pair falls between.
 
 Lists that many classes share are never expanded into all their pairs. Every member is first held against
-one leader, the lists' smallest name; links join classes into components; only lists whose members still
-lie in several components are looked at again, against leaders 0-3, 4-15, 16-63, ... until all pairs that
-lie in different components have been tested: no link is lost, and what links early costs no more tests.
+one leader, the member of its lists in whose order the shingle comes first (it differs least from the
+others); links join classes into components; only lists whose members still lie in several components are
+looked at again, against the leaders ranked 0-7, 8-127, ... until all pairs in different components have
+been tested. Pairs that cannot link by their sizes and the shingle's places are not. No link is lost, and
+what links early costs no more tests.
 
 Cases: null, empty and blank texts have empty sets: component_id is their own doc_id. Fewer than five
 words: the whole sequence is the one shingle. Very long texts are read whole. Repeated rows and equal
@@ -74,6 +76,9 @@ def widen(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+SETS = "cls long, n long, tokens binary, keys array<long>, places array<int>"
+
+
 def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -156,84 +161,65 @@ def listed_blocks(docs: DataFrame, least: int, parts: int, text_col="text") -> D
 
 
 def shared_shingles(blocks: DataFrame, parts: int) -> DataFrame:
-    """(cls, n, shingles, freqs): of each class, the shingles that other classes hold too, packed."""
+    """Of each class the shingles that other classes hold too, with their frequencies, packed into one row
+    for each part and ``bucket`` of classes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
         names, sizes, counts = join("names", np.int64), join("sizes", np.int32), join("counts", np.int32)
         s = np.concatenate([widen(x) for x in pdf["shingles"]])
-        owner = np.repeat(np.arange(len(names)), counts)
-        order = np.argsort(s, kind="stable")
-        s, owner = s[order], owner[order]
-        first = np.r_[True, s[1:] != s[:-1]]
-        group = np.cumsum(first) - 1
-        several = np.bincount(group)[group] > 1
-        s, owner, group = s[several], owner[several], group[several]
-        if not len(s):
-            return pd.DataFrame(columns=["cls", "n", "shingles", "freqs"])
+        who = np.repeat(np.arange(len(names)), counts)
+        order = np.lexsort((names[who], s))
+        s, who = s[order], who[order]
         # a class that several tasks sent has equal shingles more than once
-        who = names[owner]
-        order = np.lexsort((who, group))
-        s, owner, group, who = s[order], owner[order], group[order], who[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (who[1:] != who[:-1])]
-        s, owner, group, who = s[new], owner[new], group[new], who[new]
+        new = np.r_[True, (s[1:] != s[:-1]) | (names[who[1:]] != names[who[:-1]])]
+        s, who = s[new], who[new]
+        group = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
         freq = np.bincount(group)[group]
         keep = freq > 1
-        s, owner, who, freq = s[keep], owner[keep], who[keep], freq[keep]
-        order = np.argsort(who, kind="stable")
-        s, owner, who, freq = s[order], owner[order], who[order], freq[order]
-        cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, int)
-        ends = np.r_[cut[1:], len(who)].astype(int)
-        return pd.DataFrame(
-            {
-                "cls": who[cut],
-                "n": sizes[owner[cut]].astype(np.int64),
-                "shingles": [narrow(s[a:b]) for a, b in zip(cut, ends)],
-                "freqs": [freq[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends)],
-            }
-        )
-
-    dealt = blocks.groupBy("part").applyInPandas(run, "cls long, n long, shingles binary, freqs binary")
-    return dealt
-
+        s, who, freq = s[keep], who[keep], freq[keep]
+        bucket = (mix(names[who].astype(U64)) % U64(parts)).astype(np.int64)
+        order = np.lexsort((names[who], bucket))
+        s, who, freq, bucket = s[order], who[order], freq[order], bucket[order]
+        rows = []
+        for k in np.unique(bucket):
+            i = slice(*np.searchsorted(bucket, [k, k + 1]))
+            first = np.flatnonzero(np.r_[True, names[who[i]][1:] != names[who[i]][:-1]])
+            n = np.diff(np.r_[first, len(who[i])]).astype(np.int32)
+            rows.append((int(k), names[who[i]][first].tobytes(), sizes[who[i]][first].tobytes(), n.tobytes(), narrow(s[i]), freq[i].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "names", "sizes", "counts", "shingles", "freqs"])
 
-def list_keys(shared: DataFrame) -> DataFrame:
-    """(cls, n, tokens, keys): per class all its shared shingles, and those of its prefix as list keys.
+    return blocks.groupBy("part").applyInPandas(run, "bucket int, names binary, sizes binary, counts binary, shingles binary, freqs binary")
 
-    Rows of one class lie together and are merged as they stream by; what only one class holds ranks
-    first and takes up the prefix without needing a list.
-    """
 
-    def run(batches):
-        held: list[tuple[bytes, bytes]] = []
-        now, size = None, 0
-
-        def close():
-            s = np.concatenate([widen(a) for a, _ in held])
-            f = np.concatenate([np.frombuffer(b, "<u4") for _, b in held])
-            r = prefix_size(size) - (size - len(s))
-            if r <= 0:
-                return None
-            keys = s[np.lexsort((s, f))[:r]]
-            return now, size, narrow(np.sort(s)), mix(keys).astype(np.int64).tolist()
+def list_keys(shared: DataFrame) -> DataFrame:
+    """(cls, n, tokens, keys, places): all shared shingles of a class, and of those in its prefix the list
+    keys with their places in its order. What only one class holds ranks first and takes up the prefix
+    without needing a list; classes whose prefix holds nothing else have no row."""
 
-        for b in batches:
-            rows = []
-            for cls, n, s, f in zip(b["cls"].tolist(), b["n"].tolist(), b["shingles"], b["freqs"]):
-                if cls != now:
-                    if held and (row := close()):
-                        rows.append(row)
-                    now, size, held = cls, n, []
-                held.append((s, f))
-            yield pd.DataFrame(rows, columns=["cls", "n", "tokens", "keys"])
-        if held and (row := close()):
-            yield pd.DataFrame([row], columns=["cls", "n", "tokens", "keys"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+        names, sizes, counts = join("names", np.int64), join("sizes", np.int32), join("counts", np.int32)
+        s, freq = np.concatenate([widen(x) for x in pdf["shingles"]]), join("freqs", "<u4")
+        cls, size = np.repeat(names, counts), np.repeat(sizes, counts)
+        order = np.lexsort((s, freq, cls))
+        s, cls, size = s[order], cls[order], size[order]
+        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        rows = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cls)]):
+            n = int(size[a])
+            alone = n - (b - a)
+            r = prefix_size(n) - alone
+            if r > 0:
+                keys = s[a : min(b, a + r)]
+                rows.append((int(cls[a]), n, narrow(np.sort(s[a:b])), mix(keys).astype(np.int64).tolist(), list(range(alone, alone + len(keys)))))
+        return pd.DataFrame(rows, columns=["cls", "n", "tokens", "keys", "places"])
 
-    return shared.repartition("cls").sortWithinPartitions("cls").mapInPandas(run, "cls long, n long, tokens binary, keys array<long>")
+    return shared.groupBy("bucket").applyInPandas(run, f"{SETS}")
 
 
 def subset_rows(small: DataFrame) -> DataFrame:
-    """(cls, n, tokens, keys) of small sets: a key for each subset of each fixed size."""
+    """As ``list_keys`` for small sets: a key for each subset of each fixed size; places are 0."""
 
     def keys(raw: bytes) -> list[int]:
         s = mix(widen(raw))
@@ -245,9 +231,10 @@ def subset_rows(small: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield b.assign(keys=[keys(x) for x in b["tokens"]])
+            found = [keys(x) for x in b["tokens"]]
+            yield b.assign(keys=found, places=[[0] * len(x) for x in found])
 
-    return small.select("cls", "n", "tokens").mapInPandas(run, "cls long, n long, tokens binary, keys array<long>")
+    return small.select("cls", "n", "tokens").mapInPandas(run, SETS)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,51 +259,60 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until nothing changes; each is an aggregation with
     map-side minimum and a join, so that a hub with many neighbours is not gathered anywhere.
     """
-    e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    made, before = None, None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = saved(large.filter("a <> b").distinct(), "large-star")
+        large = saved(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large-star", few=True)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        done = saved(small.filter("a <> b").distinct(), "small-star")
+        e = saved(small.filter("a <> b").distinct(), "small-star", few=True)
         forget(large)
-        forget(e)
-        e = done
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        if made is not None:
+            forget(made)
+        made = e
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
             return e.select(F.col("a").alias("cls"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("cls"), F.col("b").alias("root"))).distinct()
-        before = tuple(now)
+        before = now
+
+
+def may_link(na, pa, nb, pb):
+    """Two classes on a list, of sizes and with the list's shingle at places: where it is the first that
+    both hold, they share no more than what follows it in either. True of some list for every link."""
+    both = F.col(na) + F.col(nb)
+    least = F.ceil((NUM * both) / F.lit(NUM + DEN) - F.lit(1e-9))
+    return F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) >= least
 
 
-def resolve(sets: DataFrame) -> DataFrame | None:
-    """(cls, root) of all classes that have links; ``sets`` has (cls, n, tokens, keys)."""
-    lists = sets.select("cls", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = lists.groupBy("key").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = saved(lists.join(shared, "key"), "lists")
+def resolve(sets: DataFrame) -> DataFrame:
+    """(cls, root) of all classes that have links; ``sets`` has the columns SETS."""
+    lists = sets.select("cls", "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "place"}).distinct()
+    first = F.min_by(F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")), F.struct("place", "cls"))
+    shared = lists.groupBy("key").agg(first.alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    lists = saved(lists.join(shared, "key").select("key", "cls", "n", "place", "leader.*"), "lists")
     sets = saved(sets.select("cls", "n", "tokens").join(lists.select("cls").distinct(), "cls", "left_semi"), "sets")
-    roots = None
-    pairs = lists.filter("cls <> leader").groupBy("cls").agg(F.min("leader").alias("b")).select(F.col("cls").alias("a"), "b")
-    lo, hi = 0, 4
+    fits = may_link("n", "place", "nb", "pb")
+    pairs = lists.filter((F.col("cls") != F.col("b")) & fits).groupBy("cls").agg(F.min_by("b", F.struct("pb", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
+    lo, hi = 0, 8
     links = None
     while True:
         fresh = linked(pairs, sets)
-        links = saved(fresh if links is None else links.unionByName(fresh), "links")
-        roots = saved(components(links), "roots")
-        at = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        links = saved(fresh if links is None else links.unionByName(fresh), "links", few=True)
+        roots = saved(components(links), "roots", few=True)
+        at = lists.select("key", "cls", "n", "place").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).filter("r0 <> r1")
-        open_lists = saved(at.drop("leader", "size").join(mixed.select("key", "members"), "key"), "open-lists")
+        open_lists = saved(at.join(mixed.select("key", "members"), "key"), "open-lists")
         most = open_lists.agg(F.max("members")).first()[0]
         if most is None or lo >= most:
             return roots
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("cls")) - 1
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("place", "cls")) - 1
         ranked = open_lists.withColumn("rank", rank)
-        leaders = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
-        fits = (DEN * F.least("n", "nb") >= NUM * F.greatest("n", "nb")) & (F.col("root") != F.col("rb")) & (F.col("rank") > F.col("kb"))
-        pairs = ranked.join(leaders, "key").filter(fits).select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-        lo, hi = hi, 4 * hi
+        leaders = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
+        ok = fits & (F.col("root") != F.col("rb")) & (F.col("rank") > F.col("kb"))
+        pairs = ranked.join(leaders, "key").filter(ok).select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
+        lo, hi = hi, 16 * hi
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -332,8 +328,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     by_list = list_keys(shared_shingles(listed_blocks(docs, least, parts, text_col).repartition(parts, "part"), parts))
     # small sets keep all their shingles; where one goes both ways its two lists of keys are joined
     by_subset = subset_rows(sizes.filter(F.col("n") <= x))
-    both = by_list.select("cls", "n", "tokens", "keys", F.lit(False).alias("whole")).unionByName(by_subset.withColumn("whole", F.lit(True)))
-    sets = both.groupBy("cls").agg(F.max("n").alias("n"), F.max_by("tokens", "whole").alias("tokens"), F.flatten(F.collect_list("keys")).alias("keys"))
+    both = by_list.withColumn("whole", F.lit(False)).unionByName(by_subset.withColumn("whole", F.lit(True)))
+    joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    sets = both.groupBy("cls").agg(F.max("n").alias("n"), F.max_by("tokens", "whole").alias("tokens"), joined("keys"), joined("places"))
     roots = resolve(saved(sets, "keyed-sets"))
     named = own.join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("component"))
     least_id = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
