@@ -189,10 +189,10 @@ def shared_shingles(blocks: DataFrame, parts: int) -> DataFrame:
             rows.append((int(k), names[who[i]][first].tobytes(), sizes[who[i]][first].tobytes(), n.tobytes(), narrow(s[i]), freq[i].astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "names", "sizes", "counts", "shingles", "freqs"])
 
-    return blocks.groupBy("part").applyInPandas(run, "bucket int, names binary, sizes binary, counts binary, shingles binary, freqs binary")
+    return blocks.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "bucket int, names binary, sizes binary, counts binary, shingles binary, freqs binary")
 
 
-def list_keys(shared: DataFrame) -> DataFrame:
+def list_keys(shared: DataFrame, parts: int) -> DataFrame:
     """(cls, n, tokens, keys, places): all shared shingles of a class, and of those in its prefix the list
     keys with their places in its order. What only one class holds ranks first and takes up the prefix
     without needing a list; classes whose prefix holds nothing else have no row."""
@@ -215,7 +215,7 @@ def list_keys(shared: DataFrame) -> DataFrame:
                 rows.append((int(cls[a]), n, narrow(np.sort(s[a:b])), mix(keys).astype(np.int64).tolist(), list(range(alone, alone + len(keys)))))
         return pd.DataFrame(rows, columns=["cls", "n", "tokens", "keys", "places"])
 
-    return shared.groupBy("bucket").applyInPandas(run, f"{SETS}")
+    return shared.repartitionById(parts, "bucket").groupBy("bucket").applyInPandas(run, SETS)
 
 
 def subset_rows(small: DataFrame) -> DataFrame:
@@ -325,13 +325,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     least = max(1, -(-NUM * (x + 1) // DEN))
     total = sizes.filter(F.col("n") >= least).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_SHINGLES))
-    by_list = list_keys(shared_shingles(listed_blocks(docs, least, parts, text_col).repartition(parts, "part"), parts))
+    by_list = saved(list_keys(shared_shingles(listed_blocks(docs, least, parts, text_col), parts), parts), "listed-sets")
     # small sets keep all their shingles; where one goes both ways its two lists of keys are joined
     by_subset = subset_rows(sizes.filter(F.col("n") <= x))
-    both = by_list.withColumn("whole", F.lit(False)).unionByName(by_subset.withColumn("whole", F.lit(True)))
+    both = by_list.filter(F.col("n") <= x).withColumn("whole", F.lit(False)).unionByName(by_subset.withColumn("whole", F.lit(True)))
     joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    sets = both.groupBy("cls").agg(F.max("n").alias("n"), F.max_by("tokens", "whole").alias("tokens"), joined("keys"), joined("places"))
-    roots = resolve(saved(sets, "keyed-sets"))
+    small = saved(both.groupBy("cls").agg(F.max("n").alias("n"), F.max_by("tokens", "whole").alias("tokens"), joined("keys"), joined("places")), "small-sets", few=True)
+    sets = by_list.filter(F.col("n") > x).unionByName(small)
+    roots = resolve(sets)
     named = own.join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("component"))
     least_id = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
     return named.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
