@@ -183,3 +183,16 @@ def final_propagation(events: DataFrame) -> DataFrame:
     """(job_id, status): the last event of each job, a final round's counting for its job."""
     e = events.withColumn("job_id", F.regexp_replace("job_id", "_final$", ""))
     return e.groupBy("job_id").agg(F.max_by("status", F.struct("seq", "status")).alias("status"))
+
+
+def resolved_statuses(jobs: DataFrame, runtime: DataFrame, ids: DataFrame) -> DataFrame:
+    """(job_id, status) of the ids asked for: the runtime's, else the stored one (C17)."""
+    live = runtime.select("job_id", F.col("status").alias("live"))
+    j = ids.select("job_id").distinct().join(jobs.select("job_id", "status"), "job_id", "left").join(live, "job_id", "left")
+    return j.select("job_id", F.coalesce("live", "status").alias("status")).filter("status IS NOT NULL")
+
+
+def with_active_final(jobs: DataFrame) -> DataFrame:
+    """Jobs whose final round exists and is active: a semi-join on the derived id."""
+    final = jobs.filter(F.endswith("job_id", F.lit("_final")) & is_active()).select(F.regexp_replace("job_id", "_final$", "").alias("job_id"))
+    return jobs.join(final, "job_id", "left_semi")

@@ -7,7 +7,8 @@ the other bindings are expanded, and stand in parentheses.
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import adaptive, changes, chunking, dedup, jobs, manifest, mutate
+from ..functions import codec, requests
+from ..operators import adaptive, changes, chunking, dedup, index, jobs, manifest, mutate, rounds
 from ..streaming import stability
 from .bindings import duck, spark_table
 
@@ -474,6 +475,53 @@ def final_propagation(t):
     return jobs.final_propagation(t("jobs").select("job_id", "status", F.col("k").alias("seq")))
 
 
+@query("SELECT job_id, coalesce(r.status, j.status) AS status FROM (SELECT job_id, status FROM ({jobs}) x UNION ALL SELECT job_id, NULL FROM ({runtime}) y WHERE job_id LIKE 'rt-%') j LEFT JOIN (SELECT job_id, status FROM ({runtime}) z) r USING (job_id)")
+def resolved_statuses(t):
+    return jobs.resolved_statuses(t("jobs"), t("runtime"), t("jobs").select("job_id").union(t("runtime").select("job_id")))
+
+
+@query("SELECT job_id, status FROM ({jobs}) j WHERE EXISTS (SELECT 1 FROM ({jobs}) f WHERE f.job_id = j.job_id || '_final' AND f.status IN ('pending','syncing','paused'))")
+def active_final(t):
+    return jobs.with_active_final(t("jobs")).select("job_id", "status")
+
+
+@query("SELECT job_id, CASE WHEN job_type IN ('once','full') OR is_last_round THEN 'completed' ELSE 'again' END AS next, round_id + CASE WHEN job_type IN ('once','full') OR is_last_round THEN 0 ELSE 1 END AS round_id FROM ({jobs})")
+def after_round(t):
+    return rounds.after_round(t("jobs"))
+
+
+@query(f"SELECT job_id, CASE WHEN job_id || '_final' IN (SELECT job_id FROM ({{jobs}}) f WHERE status IN {ACTIVE}) THEN 'skip' WHEN status = 'paused' THEN 'keep' ELSE 'submit' END AS action FROM ({{jobs}}) WHERE status IN {ACTIVE}")
+def recovery_actions(t):
+    return rounds.recovered(t("jobs"))
+
+
+@query(f"""WITH o AS (SELECT f.path, CASE WHEN f.path LIKE 'src3/%' OR f.path LIKE 'src1/en/%' THEN 'running'
+ WHEN c.path IS NOT NULL AND {TS.format('f.modified', 'c.modified')} AND f.size = c.size THEN 'cached' ELSE 'index' END AS outcome FROM ({{files_now}}) f LEFT JOIN ({{files}}) c ON f.path = c.path) SELECT outcome, count(*) AS n FROM o GROUP BY outcome""")
+def index_round(t):
+    running = t("files").sparkSession.createDataFrame([("src3",), ("src1/en",)], "dest_path string")
+    return index.outcome_counts(index.to_index(t("files_now"), running, t("files").select("path").limit(0), t("files"), 1_720_000_000_000_000_000))
+
+
+@query("SELECT path, size FROM (SELECT path, size, sum(size) OVER (ORDER BY modified DESC, path) AS s FROM ({files}) f) x WHERE s <= 100000")
+def byte_bounded_cache(t):
+    return index.byte_bounded(t("files").withColumn("last_access", F.col("modified")), 100_000).select("path", "size")
+
+
+@query("SELECT job_id, sha256(p || '4:once2[3:a.*1:b]0[]') AS fingerprint FROM (SELECT job_id, length(source_path) || ':' || source_path || length(dest_path) || ':' || dest_path AS p FROM ({jobs}) j) x")
+def request_fingerprint(t):
+    patterns = F.array(F.lit("b"), F.lit("a.*"), F.lit("b"))
+    empty = F.array().cast("array<string>")
+    return t("jobs").select("job_id", requests.request_fingerprint("source_path", F.concat(F.lit("./"), "dest_path"), F.lit("once"), patterns, empty).alias("fingerprint"))
+
+
+@query(None)
+def compress_ratio(t):
+    d = t("documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    packed = codec.smart(d, "path", "content")
+    same = codec.unpack("packed", "algorithm") == F.col("content")
+    return packed.select("path", "algorithm", F.length("content").alias("size"), F.length("packed").alias("packed_size"), same.alias("restored"))
+
+
 def queries() -> dict:
     bound = lambda f: lambda spark, sf_dir: f(lambda name: spark_table(spark, sf_dir, name))
     return {name: bound(f) for name, (f, _) in _QUERIES.items()}
