@@ -81,7 +81,7 @@ def directories_first(paths: DataFrame) -> DataFrame:
 
 def cache_cleanup(cache: DataFrame, now: Column, ttl_seconds: int, most: int) -> DataFrame:
     """Entries younger than the limit, the newest ``most`` of all jobs (E3): a top-k, not a global sort."""
-    young = cache.filter(F.unix_micros(now) - F.unix_micros(F.col("updated_at").cast("timestamp")) <= ttl_seconds * 1_000_000)
+    young = cache.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) <= ttl_seconds * 1_000_000)
     return young.orderBy(F.desc("updated_at"), "job_id", "file_path").limit(most)
 
 

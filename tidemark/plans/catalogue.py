@@ -18,7 +18,7 @@ _QUERIES: dict[str, tuple] = {}
 
 
 def now():
-    return F.expr(NOW)
+    return F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
 
 
 def query(sql: str | None = None):
@@ -33,7 +33,7 @@ PUBLIC = "job_id NOT LIKE '%\\_final' ESCAPE '\\'"
 ACTIVE = "('pending','syncing','paused')"
 
 
-@query(f"SELECT count(*) AS total, count_if(status='pending') AS pending, count_if(status='syncing') AS running, count_if(status='paused') AS paused, count_if(status='completed') AS completed, count_if(status='failed') AS failed, count_if(status='cancelled') AS cancelled FROM ({{jobs}}) WHERE {PUBLIC}")
+@query(f"SELECT count(*) AS total, count_if(status='pending')::BIGINT AS pending, count_if(status='syncing')::BIGINT AS running, count_if(status='paused')::BIGINT AS paused, count_if(status='completed')::BIGINT AS completed, count_if(status='failed')::BIGINT AS failed, count_if(status='cancelled')::BIGINT AS cancelled FROM ({{jobs}}) WHERE {PUBLIC}")
 def job_stats(t):
     return jobs.stats(jobs.counts_by_status(t("jobs"), public=True))
 
@@ -437,7 +437,7 @@ def queue_order(t):
 @query("""WITH q AS (SELECT user_id AS job_id, event_id AS seq, ts AS run_at FROM {events}), l AS (SELECT job_id, max(seq) AS seq, arg_max(run_at, seq) AS run_at FROM q GROUP BY job_id)
  SELECT job_id, seq, run_at FROM l WHERE run_at <= (SELECT min(ts) + (max(ts) - min(ts)) FROM {events})""")
 def delayed_ready(t):
-    return jobs.delayed_ready(t("events").selectExpr("user_id AS job_id", "event_id AS seq", "ts AS run_at"), F.expr("TIMESTAMP '2999-01-01 00:00:00'")).select("job_id", "seq", "run_at")
+    return jobs.delayed_ready(t("events").selectExpr("user_id AS job_id", "event_id AS seq", "ts AS run_at"), F.expr("TIMESTAMP_NTZ '2999-01-01 00:00:00'")).select("job_id", "seq", "run_at")
 
 
 @query("""WITH s AS (SELECT *, epoch_us(scan_ts) - epoch_us(modified) > 900000000 AS old FROM ({scans}) x),
