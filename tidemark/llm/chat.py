@@ -20,9 +20,10 @@ import hashlib
 import os.path
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import prepare, table
 
@@ -85,33 +86,35 @@ def format_chats(conversations: DataFrame, template=marked) -> DataFrame:
     rows = conversations.select("conv_id", "turn", empty("role"), empty("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    schema = pa.schema([rows_type(conversations, "conv_id"), ("text", pa.string()), ("spans", PLACES), ("loss", PLACES), ("rewrites", pa.bool_())])
+
     def run(batches):
         now, turns, any_row = None, [], False
 
         def close():
-            return (now, *render(turns, template).values())
+            return {"conv_id": now, **render(turns, template)}
 
         for b in batches:
             out = []
-            ids = [None if pd.isna(c) else c for c in b["conv_id"].tolist()]
-            for c, role, text in zip(ids, b["role"], b["text"]):
+            for c, role, text in zip(*(b[x].to_pylist() for x in ("conv_id", "role", "text"))):
                 if any_row and c != now:
                     out.append(close())
                     turns = []
                 now, any_row = c, True
                 turns.append((role, text))
-            yield frame(out)
+            yield pa.RecordBatch.from_pylist(out, schema)
         if any_row:
-            yield frame([close()])
+            yield pa.RecordBatch.from_pylist([close()], schema)
+
+    return rows.mapInArrow(run, f"conv_id {kind}, text string, spans array<array<long>>, loss array<array<long>>, rewrites boolean")
+
+
+PLACES = pa.list_(pa.list_(pa.int64()))
 
-    def frame(out):
-        d = pd.DataFrame(out, columns=["conv_id", "text", "spans", "loss", "rewrites"])
-        d["conv_id"] = pd.array(d["conv_id"].tolist(), "Int64") if kind in ("bigint", "int") else d["conv_id"]
-        for c in ("spans", "loss"):
-            d[c] = [[list(x) for x in v] for v in d[c]]
-        return d
 
-    return rows.mapInPandas(run, f"conv_id {kind}, text string, spans array<array<long>>, loss array<array<long>>, rewrites boolean")
+def rows_type(d: DataFrame, column: str) -> tuple:
+    """The Arrow type of an id column."""
+    return column, to_arrow_type(d.schema[column].dataType)
 
 
 #: A conversation that tries to close its own turns.
@@ -127,12 +130,12 @@ def op6_chat_format(spark, sf_dir):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             out = []
-            for text, loss in zip(b["text"], b["loss"]):
+            for text, loss in zip(b["text"].to_pylist(), b["loss"].to_pylist()):
                 turns = read_back(text)
                 learned = "".join(unescape(text[i:j]) for i, j in loss)
                 out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(text)))
-            rest = pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield pd.concat([b[["conv_id"]].reset_index(drop=True), rest, b["rewrites"].reset_index(drop=True)], axis=1)
+            rest = [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b["conv_id"], *rest, b["rewrites"]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"])
 
     kind = chats.schema["conv_id"].dataType.simpleString()
-    return chats.mapInPandas(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
+    return chats.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")

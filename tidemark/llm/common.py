@@ -4,11 +4,13 @@ Text is handled as UTF-8 bytes: every delimiter of the contracts is ASCII, so sp
 splitting code points, and ``bytes.lower`` changes A-Z only.
 """
 
+import ctypes
 import itertools
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,52 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, and what one stage needed would be
+    held while the next one runs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def texts_of(column) -> list[str]:
+    """Texts of an Arrow column; null is empty."""
+    return [t or "" for t in column.to_pylist()]
+
+
+def map_texts(docs: DataFrame, make, columns: str, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, columns) of every row. ``make()`` is called once a task and gives a function from a list of
+    texts to a list of Arrow arrays, one a column. Ids pass through as Arrow, whatever their type; nulls
+    beside large numbers stay exact."""
+    prepare(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches):
+        of = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *of(texts_of(b.column(1)))], names=names)
+        give_back()
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {columns}")
+
+
+def filter_texts(docs: DataFrame, make, text_col="text") -> DataFrame:
+    """The rows of ``docs``, whole and unchanged, whose text the function that ``make()`` gives admits."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        of = make()
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(of(texts_of(b.column(at))), bool)))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod

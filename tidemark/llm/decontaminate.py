@@ -19,11 +19,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_texts, hash_words, letter_words, prepare, rolling, table
+from .common import U64, filter_texts, give_back, hash_texts, hash_words, letter_words, prepare, rolling, table, texts_of
 
 SPAN = 13
 K = 5
@@ -53,18 +53,18 @@ class Index:
             h = hash_words(letter_words(text))
             if not len(h):
                 continue
-            i = len(self.words)
-            self.words.append(h)
-            self.names.append(name)
             k, w = (K, W) if len(h) >= SPAN else (len(h), 1)
             g = rolling(h, k)
-            m = windows_min(g, w)
-            for s in range(len(m)):
-                grams.setdefault((k, w), set()).add((int(m[s]), i, s + int(np.argmin(g[s : s + w]))))
+            at = np.arange(len(g) - w + 1) + np.lib.stride_tricks.sliding_window_view(g, w).argmin(1)
+            at = np.unique(at)
+            grams.setdefault((k, w), []).append((g[at], np.full(len(at), len(self.words)), at))
+            self.words.append(h)
+            self.names.append(name)
         self.by = {}
         for kw, found in grams.items():
-            rows = sorted(found)
-            self.by[kw] = (np.array([r[0] for r in rows], U64), np.array([r[1:] for r in rows], np.int64))
+            prints, item, at = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((at, item, prints))
+            self.by[kw] = (prints[order], np.column_stack([item[order], at[order]]))
 
     def hits(self, h: np.ndarray, at: np.ndarray) -> dict[int, dict]:
         """For documents laid end to end (word hashes, offsets): by document {item: spans [from, to)}."""
@@ -115,41 +115,31 @@ def scan(docs: DataFrame, items: list[tuple[str, str]], last: bool, kind: str) -
     """Add one block's hits to ``spans`` and ``items``; the last block turns them into the result."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
+    lists = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
+
     def run(batches):
         index = Index(sent.value)
         for b in batches:
-            h, at = hash_texts(b["text"], letter_words)
+            h, at = hash_texts(texts_of(b.column(1)), letter_words)
             found = index.hits(h, at)
-            rows = []
-            for i, (spans, names) in enumerate(zip(b["spans"], b["items"])):
-                spans, names = [list(x) for x in spans], list(names)
-                for name, got in found.get(i, {}).items():
-                    names.append(name)
-                    spans += [list(x) for x in got]
-                names = sorted(set(names))
-                rows.append((merged(spans), names))
-            spans, names = [r[0] for r in rows], [r[1] for r in rows]
+            spans, names = b.column(2).to_pylist(), b.column(3).to_pylist()
+            for i, by_item in found.items():
+                spans[i] = merged(spans[i] + [list(x) for got in by_item.values() for x in got])
+                names[i] = sorted({*names[i], *by_item})
+            lists_ = [pa.array(spans, lists[0]), pa.array(names, lists[1])]
             if not last:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "spans": spans, "items": names})
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists_], names=["doc_id", "text", "spans", "items"])
                 continue
             n = np.diff(at)
             hit = np.array([sum(y - x for x, y in s) for s in spans], np.int64)
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "n_words": n,
-                    "n_hit": hit,
-                    "n_items": [len(x) for x in names],
-                    "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names],
-                    "contaminated": (hit > 0) & (20 * hit >= n),
-                    "spans": spans,
-                    "items": names,
-                }
-            )
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+            digest = [n, hit, np.array([len(x) for x in names], np.int64), sha, (hit > 0) & (20 * hit >= n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, digest), *lists_], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
+        give_back()
 
     own = "spans array<array<long>>, items array<string>"
     result = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.mapInPandas(run, f"doc_id {kind}, {result}, {own}" if last else f"doc_id {kind}, text string, {own}")
+    return docs.mapInArrow(run, f"doc_id {kind}, {result}, {own}" if last else f"doc_id {kind}, text string, {own}")
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -178,23 +168,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 def kept_rows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs``, whole, that are not contaminated. With one block of items a single pass
     filters them; with several, the verdicts are joined by id."""
-    prepare(docs.sparkSession)
     found = blocks_if_one(benchmark)
     if not found:
         bad = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
         return docs.join(bad, id_col, "left_anti").select(docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(found[0])
 
-    def run(batches):
+    def make():
         index = Index(sent.value)
-        for b in batches:
-            h, at = hash_texts(b[text_col], letter_words)
-            hits = index.hits(h, at)
-            n = np.diff(at)
-            hit = [sum(y - x for x, y in merged([list(s) for spans in hits.get(i, {}).values() for s in spans])) for i in range(len(b))]
-            yield b[(np.array(hit) == 0) | (20 * np.array(hit) < n)]
 
-    return docs.mapInPandas(run, docs.schema)
+        def clean(texts):
+            h, at = hash_texts(texts, letter_words)
+            hit = np.zeros(len(texts), np.int64)
+            for i, by_item in index.hits(h, at).items():
+                hit[i] = sum(y - x for x, y in merged([list(s) for got in by_item.values() for s in got]))
+            return (hit == 0) | (20 * hit < np.diff(at))
+
+        return clean
+
+    return filter_texts(docs, make, text_col)
 
 
 def blocks_if_one(benchmark: DataFrame) -> list:

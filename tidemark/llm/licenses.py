@@ -15,8 +15,6 @@ whole. Repeated rows get equal results; an empty table gives no rows. Several li
 alphabetical order. Extra columns are ignored.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -29,10 +29,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fold, hash_words, mix, plain_words, prepare, saved, table
+from .common import U64, fold, give_back, hash_words, mix, plain_words, prepare, saved, table, texts_of
 
 #: Sizes of a block of documents: what one task holds in memory.
 BLOCK_DOCS = 4096
@@ -85,7 +86,7 @@ def with_blocks(docs: DataFrame, trains, id_col: str, text_col: str) -> tuple[Da
     return d.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")), blocks, int(size) // 5 + n
 
 
-def sent_grams(d: DataFrame, parts: int, width: int) -> DataFrame:
+def sent_grams(d: DataFrame, blocks: int, parts: int, width: int) -> DataFrame:
     """(part, block, kind, keys, n): kind 1 words (8 bytes a key), kind 2 bigrams (``width`` bytes)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,10 +105,10 @@ def sent_grams(d: DataFrame, parts: int, width: int) -> DataFrame:
                     rows.append((p, pdf["block"].iloc[0], kind, pack(unique[o], 8 if kind == 1 else width), n[o].astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["part", "block", "kind", "keys", "n"])
 
-    return d.select("block", "text", "t").groupBy("block").applyInPandas(run, "part int, block int, kind int, keys binary, n binary")
+    return d.select("block", "text", "t").repartitionById(blocks, "block").groupBy("block").applyInPandas(run, "part int, block int, kind int, keys binary, n binary")
 
 
-def returned_grams(sent: DataFrame, width: int) -> DataFrame:
+def returned_grams(sent: DataFrame, parts: int, width: int) -> DataFrame:
     """(block, kind, keys, n): totals that differ from what the block itself sent; block -1: N and V."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +130,7 @@ def returned_grams(sent: DataFrame, width: int) -> DataFrame:
                     rows.append((block, kind, pack(k[new], w), mine[new].astype("<i8").tobytes()))
         return pd.DataFrame(rows, columns=["block", "kind", "keys", "n"])
 
-    return sent.groupBy("part").applyInPandas(run, "block int, kind int, keys binary, n binary")
+    return sent.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "block int, kind int, keys binary, n binary")
 
 
 def lookup(keys: np.ndarray, own: np.ndarray, replies: pd.DataFrame, width: int) -> np.ndarray:
@@ -168,16 +169,19 @@ def lm_scores(docs: DataFrame, trains, id_col="doc_id", text_col="text") -> Data
     d, blocks, tokens = with_blocks(docs, trains, id_col, text_col)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_GRAMS))
     width = min(8, max(4, -(-(math.ceil(math.log2(tokens + 2)) + 13) // 8)))
-    back = saved(returned_grams(sent_grams(d, parts, width), width), "grams")
+    back = saved(returned_grams(sent_grams(d, blocks, parts, width), parts, width), "grams")
     shares = back.filter("block = -1").select("keys").collect()
     big_n, big_v = (int(x) for x in np.sum([np.frombuffer(r[0], "<i8") for r in shares] or [[0, 0]], axis=0))
     unit = big_n + 0.5 * (big_v + 1)
 
-    def run(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts):
-            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        words, bigrams, at = sequences(texts["text"])
-        t = np.repeat(texts["t"].to_numpy(bool), np.diff(at))
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, replies = texts["doc_id"].combine_chunks(), replies.to_pandas()
+        if not texts.num_rows:
+            return pa.Table.from_arrays([ids, *(pa.array([], x) for x in [pa.int64()] * 3 + [pa.float64()] * 2)], names=names)
+        words, bigrams, at = sequences(texts_of(texts["text"]))
+        t = np.repeat(np.array(texts["t"].to_pylist(), bool), np.diff(at))
         found = {}
         for k, keys, w in ((1, words, 8), (2, bigrams & U64((1 << 8 * width) - 1), width)):
             unique, own, where = counts(keys, t)
@@ -191,20 +195,14 @@ def lm_scores(docs: DataFrame, trains, id_col="doc_id", text_col="text") -> Data
         before[at[:-1]] = ends
         automaton = Automaton(np.where(before > 0, found[2] / np.maximum(before, 1), 0.0).clip(0, 1), base)
         sums = np.add.reduceat(np.log10(base), at[:-1])
-        return pd.DataFrame(
-            {
-                "doc_id": texts["doc_id"].to_numpy(),
-                "n_tokens": np.diff(at),
-                "n_known": np.add.reduceat((c > 0).astype(np.int64), at[:-1]),
-                "train_tokens": big_n,
-                "base_score": sums,
-                "score": [automaton.read(a, b) for a, b in zip(at[:-1], at[1:])],
-            }
-        )
+        known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
+        give_back()
+        score = np.array([automaton.read(a, b) for a, b in zip(at[:-1], at[1:])])
+        return pa.Table.from_arrays([ids, *map(pa.array, (np.diff(at), known, np.full(len(known), big_n, np.int64), sums, score))], names=names)
 
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     mine = back.filter("block >= 0").groupBy("block")
-    return d.select("block", "doc_id", "text", "t").groupBy("block").cogroup(mine).applyInPandas(run, schema)
+    return d.select("block", "doc_id", "text", "t").groupBy("block").cogroup(mine).applyInArrow(run, schema)
 
 
 def op10_lm_score(spark, sf_dir):

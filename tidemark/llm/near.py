@@ -30,10 +30,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, forget, hash_texts, mix, plain_words, prepare, rolling, saved, table
+from .common import U64, forget, give_back, hash_texts, map_texts, mix, plain_words, prepare, rolling, saved, table
 
 SHINGLE = 5
 #: The threshold as a fraction of whole numbers.
@@ -43,8 +44,8 @@ MAX_SMALL = 10
 #: Shingles are kept as 48-bit hashes once their set is known; the set's own name hashes all 64 bits.
 BYTES = 6
 #: Shingles of one shuffled block of sets at most (memory of a task that makes blocks), and a part.
-BLOCK_SHINGLES = 1_500_000
-PART_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_000_000
+PART_SHINGLES = 2_000_000
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -106,21 +107,14 @@ def boundary(sizes: dict[int, int]) -> int:
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, n, cls, tokens): set size, class name (null for an empty set), the shingles of small sets."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            sets = shingle_sets(b["text"])
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "n": [len(s) for s in sets],
-                    "cls": pd.array([name_of(s) if len(s) else None for s in sets], "Int64"),
-                    "tokens": [narrow(s) if 0 < len(s) <= MAX_SMALL else None for s in sets],
-                }
-            )
+    def of(texts):
+        sets = shingle_sets(texts)
+        names = [name_of(s) if len(s) else None for s in sets]
+        small = [narrow(s) if 0 < len(s) <= MAX_SMALL else None for s in sets]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(small, pa.binary())]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n long, cls long, tokens binary")
+    return map_texts(docs, lambda: of, "n long, cls long, tokens binary", id_col, text_col)
 
 
 def listed_blocks(docs: DataFrame, least: int, parts: int, text_col="text") -> DataFrame:
@@ -156,6 +150,8 @@ def listed_blocks(docs: DataFrame, least: int, parts: int, text_col="text") -> D
                         sets, held = [], 0
         if sets:
             yield flush(sets)
+        sets = seen = None
+        give_back()
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part int, names binary, sizes binary, counts binary, shingles binary")
 
@@ -187,6 +183,8 @@ def shared_shingles(blocks: DataFrame, parts: int) -> DataFrame:
             first = np.flatnonzero(np.r_[True, names[who[i]][1:] != names[who[i]][:-1]])
             n = np.diff(np.r_[first, len(who[i])]).astype(np.int32)
             rows.append((int(k), names[who[i]][first].tobytes(), sizes[who[i]][first].tobytes(), n.tobytes(), narrow(s[i]), freq[i].astype("<u4").tobytes()))
+        s = who = freq = bucket = order = group = new = keep = None
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "names", "sizes", "counts", "shingles", "freqs"])
 
     return blocks.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "bucket int, names binary, sizes binary, counts binary, shingles binary, freqs binary")

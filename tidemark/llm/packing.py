@@ -16,13 +16,13 @@ apart by rank. Extra columns are ignored.
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, table
-from .tokens import END, Encoder, groups, texts_of
+from .common import give_back, prepare, saved, table, texts_of
+from .tokens import END, Encoder, groups
 
 SEQUENCE = 2048
 GRAIN = 8
@@ -39,9 +39,9 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None =
     def run(batches):
         encode, ranks, part = Encoder(path), {}, TaskContext.get().partitionId()
         for b in batches:
-            ids, texts, rows = b["doc_id"].tolist(), texts_of(b["text"]), []
+            texts, rows = texts_of(b.column(1)), []
             for lo, hi in groups(texts):
-                for doc, stream in zip(ids[lo:hi], encode(texts[lo:hi])):
+                for doc, stream in enumerate(encode(texts[lo:hi]), lo):
                     stream += closing
                     n = len(stream) // 4
                     for start in range(0, n, size):
@@ -50,10 +50,13 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None =
                         rank = ranks.get(grade, 0)
                         ranks[grade] = rank + 1
                         rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, grade, part, rank))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grade", "part", "rank"])
+            of = np.array(rows, np.int64).reshape(-1, 8)
+            numbers = [pa.array(of[:, k]).cast(pa.int32() if k in (5, 6) else pa.int64()) for k in range(1, 8)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[:, 0])), *numbers], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grade", "part", "rank"])
+        give_back()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, grade int, part int, rank long"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def knapsack(grades: np.ndarray, prices: np.ndarray, cap: int) -> tuple[float, dict[int, int]]:
@@ -171,16 +174,17 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = N
 
     def run(batches):
         for b in batches:
-            out = np.zeros((len(b), 2), np.int64)
-            grade, rank = b["grade"].to_numpy(), (b["rank"] + b["base"]).to_numpy()
+            out = np.zeros((b.num_rows, 2), np.int64)
+            grade, rank = b["grade"].to_numpy(), b["rank"].to_numpy() + b["base"].to_numpy()
             for g in np.unique(grade):
                 i, rows = np.flatnonzero(grade == g), where[int(g)]
                 first, seq, copies, place = rows[np.searchsorted(rows[:, 0], rank[i], "right") - 1].T
                 out[i, 0], out[i, 1] = seq + (rank[i] - first) // copies, place + (rank[i] - first) % copies
-            yield b.drop(columns=["grade", "part", "rank", "base"]).assign(sequence_id=out[:, 0], place=out[:, 1])
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(out[:, 0]), pa.array(out[:, 1])], names=[*names, "sequence_id", "place"])
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long"
-    placed = p.join(base, ["grade", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "grade", "part", "rank", "base").mapInPandas(run, schema)
+    placed = p.join(base, ["grade", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "grade", "part", "rank", "base").mapInArrow(run, schema)
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place")
 

@@ -14,12 +14,12 @@ Extra columns of the inputs are ignored.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, prepare, saved, stable_order, table, utf8
+from .common import filter_texts, fold, map_texts, saved, stable_order, table, utf8
 
 #: Bound of the fit: that many labelled texts of each class, first by a hash of the id, and of these as
 #: many whole texts as fit the bytes. Scoring covers all rows.
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, admits, label="quality", id_col="d
 
 
 def scorer(model: dict):
-    """Function of a pandas Series of texts: the scores, 0 to 1."""
+    """Function of texts: their scores, 0 to 1."""
     state = {}
 
     def score(texts) -> np.ndarray:
@@ -152,27 +152,22 @@ def scorer(model: dict):
 
 def quality_scores(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
-    prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def make():
         score = scorer(model)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score(b["text"])})
+        return lambda texts: [pa.array(score(texts))]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return map_texts(docs, make, "score double", id_col, text_col)
 
 
 def kept_rows(docs: DataFrame, model: dict, text_col="text") -> DataFrame:
     """The rows of ``docs``, whole, that the model scores THRESHOLD or more."""
-    prepare(docs.sparkSession)
 
-    def run(batches):
+    def make():
         score = scorer(model)
-        for b in batches:
-            yield b[score(b[text_col]) >= THRESHOLD]
+        return lambda texts: score(texts) >= THRESHOLD
 
-    return docs.mapInPandas(run, docs.schema)
+    return filter_texts(docs, make, text_col)
 
 
 def op1_quality_classifier(spark, sf_dir):

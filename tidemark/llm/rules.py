@@ -13,11 +13,11 @@ inputs are ignored.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hash_words, plain_words, prepare, rolling, table, utf8
+from .common import fold, hash_words, map_texts, plain_words, rolling, table, utf8
 from .quality import labelled
 
 #: Bound of the fit: that many labelled rows of each class, first by a hash of the id.
@@ -53,14 +53,12 @@ def stats(text) -> tuple[int, ...]:
 
 def text_stats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, the STATS as long) for every row."""
-    prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"]}).join(pd.DataFrame([stats(t) for t in b["text"]], columns=STATS, index=b.index))
+    def of(texts):
+        rows = np.array([stats(t) for t in texts], np.int64).reshape(-1, len(STATS))
+        return [pa.array(rows[:, k]) for k in range(len(STATS))]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in STATS))
+    return map_texts(docs, lambda: of, ", ".join(f"{c} long" for c in STATS), id_col, text_col)
 
 
 #: Features the rules test: a name, and the STATS whose ratio it is (None: the first as it is).

@@ -14,11 +14,11 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, table
+from .common import map_texts, saved, table
 
 END = 1
 #: How byte-level BPE vocabularies of this kind split text before merging: a fixed value.
@@ -76,10 +76,6 @@ class Encoder:
         return [self.one(t) for t in texts]
 
 
-def texts_of(column) -> list[str]:
-    return [t if isinstance(t, str) else "" for t in column]
-
-
 def groups(texts: list[str], limit: int = 4_000_000):
     """Runs of texts of bounded size, so that few ids are held at once."""
     start = size = 0
@@ -94,17 +90,12 @@ def groups(texts: list[str], limit: int = 4_000_000):
 
 def token_lengths(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens): the ids of each whole text plus the closing one."""
-    prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def make():
         encode = Encoder(path)
-        for b in batches:
-            texts = texts_of(b["text"])
-            n = [len(x) // 4 + 1 for lo, hi in groups(texts) for x in encode(texts[lo:hi])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.array(n, np.int64)})
+        return lambda texts: [pa.array([len(x) // 4 + 1 for lo, hi in groups(texts) for x in encode(texts[lo:hi])], pa.int64())]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long")
+    return map_texts(docs, make, "n_tokens long", id_col, text_col)
 
 
 BLOCK = 1024

@@ -16,10 +16,11 @@ score is the share of toxic ones (0 without any). Extra columns of the inputs ar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fold, hash_words, letter_words, mix, prepare, table
+from .common import U64, filter_texts, fold, hash_words, letter_words, map_texts, mix, table
 from .quality import labelled
 
 BUCKETS = 1 << 20
@@ -120,28 +121,24 @@ def raw_score(model: dict, text) -> float:
 
 def toxicity_scores(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, score) for every row of ``docs``. The model has at most BUCKETS * (RANK + 2) numbers."""
-    spark = prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def make():
         m = sent.value
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [raw_score(m, t) for t in b["text"]]})
+        return lambda texts: [pa.array([raw_score(m, t) for t in texts], pa.float64())]
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return map_texts(docs, make, "score double", id_col, text_col)
 
 
 def kept_rows(docs: DataFrame, model: dict, text_col="text") -> DataFrame:
     """The rows of ``docs``, whole, that the model scores below THRESHOLD."""
-    spark = prepare(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in batches:
-            yield b[[raw_score(sent.value, t) < THRESHOLD for t in b[text_col]]]
+    def make():
+        m = sent.value
+        return lambda texts: [raw_score(m, t) < THRESHOLD for t in texts]
 
-    return docs.mapInPandas(run, docs.schema)
+    return filter_texts(docs, make, text_col)
 
 
 def op5_toxicity(spark, sf_dir):
