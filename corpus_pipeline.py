@@ -25,13 +25,19 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Of each group of linked documents keep the one with the smallest doc_id."""
-    found = near.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    kept = saved(found, "kept-ids")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if kept.filter("copies > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of linked documents keep the one with the smallest doc_id.
+
+    The ids that go are the smaller side: while Spark finds their table below its broadcast threshold, no
+    text is shuffled; beyond it the join deals both sides by id.
+    """
+    found = saved(near.near_duplicates(docs), "components")
+    gone = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone-ids", few=True)
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    if again.limit(1).count():
+        named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        out = named.unionByName(out.filter("doc_id IS NULL"))
+    return out
 
 
 def decontamination_stage(spark, docs, sf_dir):
