@@ -9,6 +9,8 @@ Sets are the distinct 5-word shingles of a text; two sets link when 100 * |A & B
 * Larger sets use inverted lists. Shingles are ranked, rarest first; linked sets share a shingle among
   the first n - ceil(0.8 n) + 1 of each. Shingles met in one class only need no list, and as they are the
   rarest, most sets of original text have no key at all.
+* Heavy shingles, which a good share of all sets hold, are found in the first pass. They rank last whatever
+  their count, so they are dealt by set and not by shingle: no task gets all the sets of a frequent passage.
 * The boundary is the size at which, by the histogram of set sizes, keys and shuffled shingles cost least.
   Sets near it go both ways, so that no pair falls between.
 
@@ -41,8 +43,15 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: No boundary above this: subsets of larger sets are too many.
 MAX_SMALL = 10
+#: A heavy shingle: in this share of a batch's sets (and so many of them), and of all documents.
+BATCH_SHARE, BATCH_SETS = 0.03, 8
+HEAVY_SHARE, HEAVY_SETS = 0.005, 64
+#: So many heavy shingles at most, the most frequent ones: 8 bytes each are sent to the tasks.
+MAX_HEAVY = 65_536
+LAST = 0xFFFFFFFF
 #: Shingles are kept as 48-bit hashes once their set is known; the set's own name hashes all 64 bits.
 BYTES = 6
+MASK = U64((1 << 8 * BYTES) - 1)
 #: Shingles of one shuffled block of sets at most (memory of a task that makes blocks), and a part.
 BLOCK_SHINGLES = 1_000_000
 PART_SHINGLES = 2_000_000
@@ -106,19 +115,49 @@ def boundary(sizes: dict[int, int]) -> int:
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n, cls, tokens): set size, class name (null for an empty set), the shingles of small sets."""
+    """(doc_id, n, cls, tokens, frequent): set size, class name (null for an empty set), the shingles of small
+    sets, and on the first row of a batch the shingles that many of its sets hold, with their counts."""
+
+    def frequent(sets, names) -> bytes | None:
+        several = {name: s for name, s in zip(names, sets) if name is not None}
+        if len(several) < BATCH_SETS:
+            return None
+        found, count = np.unique(np.concatenate(list(several.values())) & MASK, return_counts=True)
+        many = count >= max(BATCH_SETS, BATCH_SHARE * len(several))
+        return found[many].astype("<u8").tobytes() + count[many].astype("<u4").tobytes() if many.any() else None
 
     def of(texts):
         sets = shingle_sets(texts)
         names = [name_of(s) if len(s) else None for s in sets]
         small = [narrow(s) if 0 < len(s) <= MAX_SMALL else None for s in sets]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(small, pa.binary())]
+        first = [frequent(sets, names), *[None] * (len(sets) - 1)][: len(sets)]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(small, pa.binary()), pa.array(first, pa.binary())]
+
+    return map_texts(docs, lambda: of, "n long, cls long, tokens binary, frequent binary", id_col, text_col)
+
+
+def heavy_shingles(own: DataFrame) -> np.ndarray:
+    """The heavy shingles, sorted. Which shingles are heavy changes only the order they rank in."""
+
+    def run(batches):
+        for b in batches:
+            for raw in b["frequent"]:
+                n = len(raw) // 12
+                yield pd.DataFrame({"s": np.frombuffer(raw[: 8 * n], "<i8"), "k": np.frombuffer(raw[8 * n :], "<u4").astype(np.int64)})
+
+    docs = own.agg(F.count(F.lit(1))).first()[0]
+    found = own.filter("frequent IS NOT NULL").select("frequent").mapInPandas(run, "s long, k long").groupBy("s").agg(F.sum("k").alias("k"))
+    top = found.filter(F.col("k") >= max(HEAVY_SETS, HEAVY_SHARE * docs)).orderBy(F.desc("k"), "s").limit(MAX_HEAVY).collect()
+    return np.array(sorted(r.s for r in top), U64)
+
 
-    return map_texts(docs, lambda: of, "n long, cls long, tokens binary", id_col, text_col)
+def is_heavy(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    s = shingles & MASK
+    return heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), bool)
 
 
-def listed_blocks(docs: DataFrame, least: int, parts: int, text_col="text") -> DataFrame:
-    """Sets of at least ``least`` shingles, dealt by shingle into ``parts``: packed blocks of
+def listed_blocks(docs: DataFrame, least: int, parts: int, heavy, text_col="text") -> DataFrame:
+    """Sets of at least ``least`` shingles, dealt by shingle (heavy ones by set) into ``parts``: packed blocks of
     (classes, sizes, counts, shingles). A task sends each class once, however many copies it reads."""
 
     def flush(sets):
@@ -126,7 +165,8 @@ def listed_blocks(docs: DataFrame, least: int, parts: int, text_col="text") -> D
         sizes = np.array([len(s[1]) for s in sets], np.int32)
         all_s = np.concatenate([s[1] for s in sets])
         owner = np.repeat(np.arange(len(sets)), sizes)
-        part = (all_s % U64(parts)).astype(np.int64)
+        by_set = mix(names.astype(U64))[owner]
+        part = (np.where(is_heavy(all_s, heavy.value), by_set, all_s) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         rows = []
@@ -156,7 +196,7 @@ def listed_blocks(docs: DataFrame, least: int, parts: int, text_col="text") -> D
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part int, names binary, sizes binary, counts binary, shingles binary")
 
 
-def shared_shingles(blocks: DataFrame, parts: int) -> DataFrame:
+def shared_shingles(blocks: DataFrame, parts: int, heavy) -> DataFrame:
     """Of each class the shingles that other classes hold too, with their frequencies, packed into one row
     for each part and ``bucket`` of classes."""
 
@@ -171,7 +211,7 @@ def shared_shingles(blocks: DataFrame, parts: int) -> DataFrame:
         new = np.r_[True, (s[1:] != s[:-1]) | (names[who[1:]] != names[who[:-1]])]
         s, who = s[new], who[new]
         group = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
-        freq = np.bincount(group)[group]
+        freq = np.where(is_heavy(s, heavy.value), LAST, np.bincount(group)[group])
         keep = freq > 1
         s, who, freq = s[keep], who[keep], freq[keep]
         bucket = (mix(names[who].astype(U64)) % U64(parts)).astype(np.int64)
@@ -323,7 +363,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     least = max(1, -(-NUM * (x + 1) // DEN))
     total = sizes.filter(F.col("n") >= least).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_SHINGLES))
-    by_list = saved(list_keys(shared_shingles(listed_blocks(docs, least, parts, text_col), parts), parts), "listed-sets")
+    heavy = spark.sparkContext.broadcast(heavy_shingles(own))
+    blocks = listed_blocks(docs, least, parts, heavy, text_col)
+    by_list = saved(list_keys(shared_shingles(blocks, parts, heavy), parts), "listed-sets")
     # small sets keep all their shingles; where one goes both ways its two lists of keys are joined
     by_subset = subset_rows(sizes.filter(F.col("n") <= x))
     both = by_list.filter(F.col("n") <= x).withColumn("whole", F.lit(False)).unionByName(by_subset.withColumn("whole", F.lit(True)))
@@ -331,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     small = saved(both.groupBy("cls").agg(F.max("n").alias("n"), F.max_by("tokens", "whole").alias("tokens"), joined("keys"), joined("places")), "small-sets", few=True)
     sets = by_list.filter(F.col("n") > x).unionByName(small)
     roots = resolve(sets)
-    named = own.join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("component"))
+    named = own.select("doc_id", "n", "cls").join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("component"))
     least_id = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
     return named.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
 
