@@ -78,6 +78,25 @@ def test_decontamination(spark, contamination, monkeypatch, block):
     assert kept.columns == ["doc_id", "text", "n_words", "component"]
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 700])
+def test_kept_rows_by_their_own_text(spark, contamination, monkeypatch, block):
+    """Also beyond one block of items: rows without an id and rows of a repeated id, one of them clean."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    docs, items = contamination
+    bad = next(t for k, t in items if k is not None and len((t or "").split()) == 40)
+    docs = docs + [(None, bad), (None, "clean"), (700, bad), (700, "clean too")]
+    d = frame(spark, docs).withColumn("spans", F.array(F.lit("x")))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    numbered = d.withColumn("doc_id", F.monotonically_increasing_id())
+    verdicts = decontaminate.decontaminate(numbered, bench).filter("NOT contaminated").select("doc_id")
+    want = numbered.join(verdicts, "doc_id").select("text")
+    kept = decontaminate.kept_rows(d, bench)
+    assert kept.columns == d.columns and {tuple(r.spans) for r in kept.collect()} == {("x",)}
+    rows = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert Counter(t for _, t in rows.elements()) == Counter(r.text for r in want.collect())
+    assert rows[None, "clean"] == rows[700, "clean too"] == 1 and not rows[None, bad] and not rows[700, bad]
+
+
 def test_decontamination_empty(spark):
     docs = frame(spark, [(1, "a b")])
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import U64, filter_texts, give_back, hash_texts, hash_words, letter_words, prepare, rolling, table, texts_of
+from .common import U64, give_back, hash_texts, hash_words, letter_words, prepare, rolling, table, texts_of
 
 SPAN = 13
 K = 5
@@ -166,33 +167,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 
 
 def kept_rows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of ``docs``, whole, that are not contaminated. With one block of items a single pass
-    filters them; with several, the verdicts are joined by id."""
-    found = blocks_if_one(benchmark)
-    if not found:
-        bad = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti").select(docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(found[0])
-
-    def make():
-        index = Index(sent.value)
-
-        def clean(texts):
-            h, at = hash_texts(texts, letter_words)
-            hit = np.zeros(len(texts), np.int64)
-            for i, by_item in index.hits(h, at).items():
-                hit[i] = sum(y - x for x, y in merged([list(s) for got in by_item.values() for s in got]))
-            return (hit == 0) | (20 * hit < np.diff(at))
+    """The rows of ``docs``, whole, that are not contaminated. Each row is judged by its own text: it
+    passes all blocks of items with the spans found so far, and the last block filters. ``id_col`` is not read."""
+    prepare(docs.sparkSession)
+    own = "spans"
+    while own in docs.columns:
+        own += "_"
+    out, first = docs, True
+    for last, items in blocks(benchmark):
+        out = passed(out, items, docs.schema, own, docs.columns.index(text_col), first, last)
+        first = False
+    return out
 
-        return clean
 
-    return filter_texts(docs, make, text_col)
+def passed(docs: DataFrame, items: list[tuple[str, str]], schema: StructType, own: str, at: int, first: bool, last: bool) -> DataFrame:
+    """One block's pass over whole rows: add its hits to the spans in the last column, ``own``; the last
+    block drops that column and the contaminated rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+    width = len(schema.names)
 
+    def run(batches):
+        index = Index(sent.value)
+        for b in batches:
+            h, offsets = hash_texts(texts_of(b.column(at)), letter_words)
+            spans = [[] for _ in range(b.num_rows)] if first else b.column(width).to_pylist()
+            for i, by_item in index.hits(h, offsets).items():
+                spans[i] = merged(spans[i] + [list(s) for got in by_item.values() for s in got])
+            row = [b.column(k) for k in range(width)]
+            if not last:
+                yield pa.RecordBatch.from_arrays([*row, pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*b.schema.names[:width], own])
+                continue
+            hit = np.array([sum(y - x for x, y in s) for s in spans], np.int64)
+            clean = (hit == 0) | (20 * hit < np.diff(offsets))
+            yield pa.RecordBatch.from_arrays(row, names=b.schema.names[:width]).filter(pa.array(clean))
+        give_back()
 
-def blocks_if_one(benchmark: DataFrame) -> list:
-    """The items, if they are one block."""
-    first = next(blocks(benchmark))
-    return [first[1]] if first[0] else []
+    return docs.mapInArrow(run, schema if last else StructType([*schema.fields, StructField(own, ArrayType(ArrayType(LongType())))]))
 
 
 def op2_decontamination(spark, sf_dir):
