@@ -128,6 +128,14 @@ def test_encoder_equals_tokenizers(ids):
     assert all(np.frombuffer(g, "<u4").tolist() == ids(t)[:-1] for g, t in zip(got, texts))
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u00a0", " \n"])
+def test_encoder_takes_long_blank_runs(ids, blank):
+    texts = ["a" + blank * (n // len(blank)) + end for n in (tokens.LONG_RUN - 2, tokens.LONG_RUN, 1_100_000) for end in ("", "b")]
+    encode = tokens.Encoder()
+    assert encode.fast is not None
+    assert all(np.frombuffer(encode.one(t), "<u4").tolist() == ids(t)[:-1] for t in texts)
+
+
 def test_packing_round_trip(spark, ids):
     rng = random.Random(8)
     rows = TEXTS + [(100 + i, " ".join(rng.choice(["alpha", "be", "gamma", "delta!"]) for _ in range(rng.randrange(1, 900)))) for i in range(150)]

@@ -2,8 +2,8 @@
 
 The ids are those of the ``tokenizers`` library for a byte-level BPE file. The same vocabulary, read from
 that file, also drives ``tiktoken``, which is several times faster; it encodes the texts made of
-characters below U+0250 (where both split alike) without the special token's string, and ``tokenizers``
-encodes all others. An encoder compares both on probes when it is made, and uses ``tokenizers`` alone if
+characters below U+0250 (where both split alike) without the special token's string and without very long
+runs of whitespace (it gives up on runs of a million), and ``tokenizers`` encodes all others. An encoder compares both on probes when it is made, and uses ``tokenizers`` alone if
 they differ or the file is of another kind.
 
 Cases: a null text is empty: no ids but the closing one. Very long texts are encoded whole. Repeated rows
@@ -24,6 +24,9 @@ END = 1
 #: How byte-level BPE vocabularies of this kind split text before merging: a fixed value.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNUSUAL = re.compile("[^\x00-\u024f]")
+#: Runs of whitespace from this length on are not given to ``tiktoken``, whose stack they overflow.
+LONG_RUN = 100_000
+BLANKS = re.compile(r"\s+")
 PROBES = ["", " ", "Hello world, it's we'll  12 34,5\n\n x\t", "na\u00efve caf\u00e9 \u00e7a  \u00fc\u00df. ###!! <a|b>"]
 
 
@@ -41,6 +44,11 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def long_run(text: str) -> bool:
+    """Whether the text holds LONG_RUN characters of whitespace in a row."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in BLANKS.finditer(text))
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, without the closing id."""
 
@@ -66,7 +74,7 @@ class Encoder:
         return fast.encode_ordinary if same else None
 
     def one(self, text: str) -> bytes:
-        if self.fast is None or UNUSUAL.search(text) or any(s in text for s in self.special):
+        if self.fast is None or UNUSUAL.search(text) or long_run(text) or any(s in text for s in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast(text)
