@@ -8,7 +8,7 @@ sample is cut in two halves, each scored with dictionaries of the other half.
 
 Cases: null and empty texts have no bytes; their features are 0 and they get the calibrated score of
 that point. Very long texts are compressed whole. Repeated rows get equal scores. Unlabelled classes:
-with no good or no bad labelled text the score is the share of good ones (0.5 without any). Labels other
+with fewer than four good or bad labelled texts the score is the share of good ones (0.5 without any). Labels other
 than 0 and 1, null labels and repeated label rows: only 0/1 count, a doc_id takes its largest label.
 Extra columns of the inputs are ignored.
 """
@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, fold, map_texts, saved, stable_order, table, utf8
+from .common import filter_texts, fold, forget, map_texts, saved, stable_order, table, utf8
 
 #: Bound of the fit: that many labelled texts of each class, first by a hash of the id, and of these as
-#: many whole texts as fit the bytes. Scoring covers all rows.
+#: many whole texts as fit the bytes (a longer one is passed over). Scoring covers all rows.
 MAX_TEXTS = 3000
 MAX_BYTES = 24_000_000
 DICT_BYTES = 112_640
@@ -46,16 +46,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, admits, bound: int,
     return saved(d.join(chosen, "id").groupBy("id").agg(F.max("text").alias("text"), F.max("y").alias("y")), "labelled"), sizes
 
 
-def bounded(rows: DataFrame, max_bytes: int) -> list[str]:
-    """Whole texts in the order of a hash of their id, as many as fit ``max_bytes``, and at least one."""
+def bounded(rows: DataFrame, size, max_bytes: int) -> DataFrame:
+    """Whole rows in the order of a hash of their id (column ``o``), as many as fit ``max_bytes``; a row
+    that does not fit is passed over, and smaller ones after it still count. ``size`` is a row's bytes."""
     r = rows.withColumn("o", stable_order("id"))
-    total, last = 0, None
-    for k in r.select("o", F.octet_length("text").alias("b")).orderBy("o", "b").collect():
-        total += k.b
-        if total > max_bytes and last is not None:
-            break
-        last = k.o
-    return [] if last is None else [x.text for x in r.filter(F.col("o") <= last).orderBy("o", "text").select("text").collect()]
+    total, last, over = 0, None, []
+    for k in r.select("o", size.alias("b")).orderBy("o", "b").collect():
+        if total + k.b > max_bytes:
+            over.append(k.o)
+        else:
+            total, last = total + k.b, k.o
+    if last is None:
+        return r.filter(F.lit(False))
+    return r.filter((F.col("o") <= last) & ~F.col("o").isin([o for o in over if o <= last]))
+
+
+def sample(rows: DataFrame, y: int) -> list[str]:
+    """The bounded sample of one class's texts."""
+    some = bounded(rows.filter(F.col("y") == y), F.octet_length("text"), MAX_BYTES)
+    return [x.text for x in some.orderBy("o", "text").select("text").collect()]
 
 
 def train_dict(texts: list[bytes]) -> bytes:
@@ -92,16 +101,27 @@ def design(f: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(f)), d, r, d * r, d * d, np.maximum(0, -0.9 - r)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    keep[0, 0] = 1e-6
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """Newton's method, each step halved until the penalised loss falls. The loss is convex, so this ends
+    at its one minimum in whatever order the rows come; an end elsewhere is an error."""
+    keep = np.full(x.shape[1], ridge)
+    keep[0] = 1e-6
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + keep @ (w * w) / 2
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + keep, x.T @ (p - y) + keep @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+        slope = x.T @ (p - y) + keep * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(keep), slope)
+        if slope @ step < 1e-10 * len(y):
+            return w
+        size = 1.0
+        while (then := loss(w - size * step)) > now - 1e-4 * size * (slope @ step):
+            size /= 2
+            if size < 1e-9:
+                raise ArithmeticError("the calibration found no step that lowers its loss")
+        w, now = w - size * step, then
+    raise ArithmeticError("the calibration did not converge")
 
 
 def fit(good: list[str], bad: list[str]) -> dict:
@@ -131,7 +151,8 @@ def calibrate(model: dict, share_good: float) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame, admits, label="quality", id_col="doc_id", text_col="text") -> dict:
     rows, n = labelled(docs, labels, label, admits, MAX_TEXTS, id_col, text_col)
-    model = fit(*(bounded(rows.filter(F.col("y") == y), MAX_BYTES) for y in (1, 0)))
+    model = fit(sample(rows, 1), sample(rows, 0))
+    forget(rows)
     return calibrate(model, n[1] / (n[0] + n[1])) if n.get(0) and n.get(1) else model
 
 
