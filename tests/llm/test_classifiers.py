@@ -69,21 +69,37 @@ def test_toxicity(corpus):
     assert toxicity.train(docs, labels.filter("false"), lambda c: F.lit(True)) == {"constant": 0.0}
 
 
-def test_factorization_learns_pairs():
-    """Neither term tells anything alone; together they do."""
-    rng, samples, y = random.Random(1), [], []
+def fitted(spark, rows):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, lambda c: F.lit(True))
+    return model, lambda t: toxicity.raw_score(model, t)
+
+
+def test_factorization_learns_pairs(spark):
+    """Neither term is toxic alone; together they are."""
+    rng, rows = random.Random(1), []
     for _ in range(1500):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        text = " ".join(["aaa"] * a + ["bbb"] * b + ["ccc"] * (a and b and rng.random() < 0.2) + [f"n{rng.randrange(40)}" for _ in range(5)])
-        samples.append(toxicity.terms(text))
-        y.append(float(a and b))
-    import numpy as np
-
-    m = toxicity.fit(samples, np.array(y), epochs=15)
-    one = lambda t: toxicity.raw_score(m, t)
+        rows.append((" ".join(["aaa"] * a + ["bbb"] * b + [f"n{rng.randrange(40)}" for _ in range(5)]), int(a and b)))
+    _, one = fitted(spark, rows)
     assert one("aaa bbb") > 0.5 > max(one("aaa"), one("bbb"), one("n1"))
 
 
+def test_factorization_learns_a_term_that_tells_nothing_alone(spark):
+    """A group's name is as common in clean texts as in toxic ones; only beside the insult it tells."""
+    rng, rows = random.Random(2), []
+    for _ in range(4000):
+        insult = rng.random() < 0.4
+        toxic = insult and rng.random() < 0.5
+        names = [rng.choice(["zorg", "yarl"])] if toxic else ["zorg"] * (not insult and rng.random() < 2 / 3)
+        rows.append((" ".join(["wretch"] * insult + names + [f"n{rng.randrange(60)}" for _ in range(6)]), int(toxic)))
+    share = lambda label: sum("zorg" in t for t, y in rows if y == label) / sum(y == label for _, y in rows)
+    assert abs(share(1) - share(0)) < 0.04
+    _, one = fitted(spark, rows)
+    assert one("wretch zorg n1 n2") > 0.6 and one("zorg n1 n2") < 0.3 and one("wretch n1 n2") < 0.3
+
+
 def brute_stats(text):
     import re
 

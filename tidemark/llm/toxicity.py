@@ -15,20 +15,23 @@ score is the share of toxic ones (0 without any). Extra columns of the inputs ar
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, filter_texts, fold, hash_words, letter_words, map_texts, mix, table
-from .quality import labelled
+from .common import U64, filter_texts, fold, forget, hash_words, letter_words, map_texts, mix, saved, table, texts_of
+from .quality import bounded, labelled
 
 BUCKETS = 1 << 20
 RANK = 4
 #: Bound of the fit: that many labelled texts of each class, first by a hash of the id.
 MAX_TEXTS = 8000
 MIN_TEXTS = 3
-MIN_G = 8.0
+MIN_G, MIN_PAIR_G = 8.0, 20.0
+#: Bounds of the model and of what the driver collects for the fit: the terms of the largest G of either
+#: kind, and as many of the sampled texts, by a hash of the id, as fit the bytes (all of them, usually).
+MAX_TERMS = 4096
+MAX_BYTES = 32_000_000
 THRESHOLD = 0.3
 
 
@@ -42,36 +45,64 @@ def terms(text) -> np.ndarray:
     return np.unique(h & U64(BUCKETS - 1)).astype(np.int64)
 
 
-def with_terms(rows: DataFrame) -> DataFrame:
-    """(y, terms) of labelled texts: what the fit collects, a few KB a text at most for usual texts."""
+def bucket_counts(rows: DataFrame, beside: np.ndarray | None = None) -> DataFrame:
+    """(bucket, a, b): how many toxic and how many other texts touch each bucket; with ``beside``, among the
+    texts that touch one of these buckets. A task adds up its own texts first."""
 
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"y": b["y"], "terms": [terms(t).astype("<i4").tobytes() for t in b["text"]]})
+        n = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = terms(t)
+                if beside is None or np.isin(x, beside, assume_unique=True).any():
+                    n[y, x] += 1
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], names=["bucket", "a", "b"])
+
+    part = rows.select("y", "text").mapInArrow(run, "bucket long, a long, b long")
+    return part.groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def g_test(n1: int, n0: int):
+    """G of the 2x2 table of touching a bucket (columns a, b) and being toxic."""
+    n, held, out = float(n1 + n0), F.col("a") + F.col("b"), F.lit(0.0)
+    for seen, col, row in ((F.col("a"), held, n1), (F.col("b"), held, n0), (n1 - F.col("a"), n - held, n1), (n0 - F.col("b"), n - held, n0)):
+        out += F.when(seen > 0, 2 * seen * F.log(seen * F.lit(n) / (col * F.lit(float(row))))).otherwise(F.lit(0.0))
+    return out
 
-    return rows.select("y", "text").mapInPandas(run, "y int, terms binary")
 
+def telling(rows: DataFrame) -> np.ndarray:
+    """The kept buckets, sorted: at most MAX_TERMS of each kind, those of the largest G."""
 
-def telling(samples: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets whose presence tells toxic texts from others, by the G-test of a 2x2 table."""
-    count = lambda keep: np.bincount(np.concatenate([s for s, k in zip(samples, keep) if k] or [np.empty(0, int)]).astype(int), minlength=BUCKETS).astype(float)
-    a, b = count(y == 1), count(y == 0)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    g = np.zeros(BUCKETS)
-    for seen, col, row in ((a, a + b, n1), (b, a + b, n0), (n1 - a, len(y) - a - b, n1), (n0 - b, len(y) - a - b, n0)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g += np.where(seen > 0, 2 * seen * np.log(seen * len(y) / (col * row)), 0)
-    return np.flatnonzero((a + b >= MIN_TEXTS) & (g >= MIN_G))
+    def best(counts: DataFrame, n1: int, n0: int, least: float) -> np.ndarray:
+        if not n1 or not n0:
+            return np.empty(0, np.int64)
+        top = counts.filter(F.col("a") + F.col("b") >= MIN_TEXTS).withColumn("g", g_test(n1, n0)).filter(F.col("g") >= least)
+        return np.array(sorted(r.bucket for r in top.orderBy(F.desc("g"), "bucket").limit(MAX_TERMS).select("bucket").collect()), np.int64)
 
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    alone = best(bucket_counts(rows), n.get(1, 0), n.get(0, 0), MIN_G)
+    if not len(alone):
+        return alone
+    held = {r.y: r.n for r in kept_terms(rows, alone).filter(F.octet_length("terms") > 0).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return np.union1d(alone, best(bucket_counts(rows, alone), held.get(1, 0), held.get(0, 0), MIN_PAIR_G))
 
-def fit(samples: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.08, seed: int = 7) -> dict:
-    """AdaGrad over the samples, one at a time, in a fixed shuffled order."""
+
+def kept_terms(rows: DataFrame, kept: np.ndarray) -> DataFrame:
+    """(id, y, terms): of each text the kept buckets it touches, as places in ``kept``, 32 bits each."""
+
+    def run(batches):
+        for b in batches:
+            places = [np.searchsorted(kept, x[np.isin(x, kept, assume_unique=True)]).astype("<i4").tobytes() for x in map(terms, texts_of(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.binary())], names=["id", "y", "terms"])
+
+    return rows.select("id", "y", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, terms binary")
+
+
+def fit(xs: list[np.ndarray], y: np.ndarray, kept: np.ndarray, epochs: int = 6, rate: float = 0.08, seed: int = 7) -> dict:
+    """AdaGrad over the samples (places in ``kept``), one at a time, in a fixed shuffled order."""
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
-    kept = telling(samples, y)
-    at = np.full(BUCKETS, -1, np.int32)
-    at[kept] = np.arange(len(kept))
-    xs = [a[a >= 0] for a in (at[s] for s in samples)]
     rng = np.random.default_rng(seed)
     w0, w, v = np.log(y.mean() / (1 - y.mean())), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), RANK))
     gw, gv, g0 = np.full(len(kept), 1e-2), np.full((len(kept), RANK), 1e-2), 1e-2
@@ -93,16 +124,21 @@ def fit(samples: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float =
             dv = g * (s - vx) + decay_v * vx
             gv[x] += dv * dv
             v[x] -= 0.25 * rate * dv / np.sqrt(gv[x])
+    at = np.full(BUCKETS, -1, np.int32)
+    at[kept] = np.arange(len(kept))
     return {"at": at, "w0": w0, "w": w, "v": v}
 
 
 def train(docs: DataFrame, labels: DataFrame, admits, label="toxic", id_col="doc_id", text_col="text") -> dict:
     """Fit on a bounded sample; the intercept is shifted to the classes' shares among all labelled rows."""
     rows, n = labelled(docs, labels, label, admits, MAX_TEXTS, id_col, text_col)
-    parts = with_terms(rows).collect()
-    parts.sort(key=lambda r: (r.y, bytes(r.terms)))
+    kept = telling(rows)
+    own = saved(kept_terms(rows, kept), "kept-terms", few=True)
+    parts = bounded(own, F.octet_length("terms") + 16, MAX_BYTES).orderBy("y", "o", "terms").select("y", "terms").collect()
+    forget(own)
+    forget(rows)
     got = np.array([r.y for r in parts], float)
-    model = fit([np.frombuffer(r.terms, "<i4") for r in parts], got)
+    model = fit([np.frombuffer(r.terms, "<i4") for r in parts], got, kept)
     if "constant" not in model:
         model["w0"] += np.log(n[1] / n[0]) - np.log(got.sum() / (len(got) - got.sum()))
     return model
@@ -120,7 +156,7 @@ def raw_score(model: dict, text) -> float:
 
 
 def toxicity_scores(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, score) for every row of ``docs``. The model has at most BUCKETS * (RANK + 2) numbers."""
+    """(doc_id, score) for every row of ``docs``. The model has BUCKETS + 2 * MAX_TERMS * (RANK + 1) numbers at most."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
