@@ -289,6 +289,15 @@ def test_licenses(spark):
     assert licenses.license_lists(frame(spark, rows).filter("false")).count() == 0
 
 
+def test_licenses_by_row(spark):
+    mit, bsd = "Released under the MIT License.", licenses.TEMPLATES[2][1]
+    rows = [(None, mit), (None, bsd), (5, mit), (5, bsd), (5, "neither"), (None, None), (6, mit + " " + bsd), (6, mit + " " + bsd)]
+    got = Counter((r.doc_id, r.licenses) for r in licenses.license_lists(frame(spark, rows)).collect())
+    assert got == {(None, "mit"): 1, (None, "bsd"): 1, (5, "mit"): 1, (5, "bsd"): 1, (6, "bsd,mit"): 2}
+    found = licenses.license_matches(frame(spark, rows))
+    assert found.columns == ["doc_id", "license", "template", "contained"] and found.count() == 8
+
+
 # --- language model
 
 

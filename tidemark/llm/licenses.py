@@ -8,10 +8,12 @@ template equals one of the indexed windows in all 24 bands; for the shortest tem
 window of 12, a band collides with probability 3/12, and all 24 fail with probability 0.75^24 = 0.1 %.
 Retrieved templates match where the text holds at least 80 % of the template's distinct shingles.
 
-The templates are a fixed list, so that the literals sent with the plan are bounded (a few thousand).
+No row meets another: there is no shuffle. The templates are a fixed list, so that the literals sent with the plan are bounded (a few
+thousand).
 
 Cases: null, empty and short texts (fewer than three words) hold no license. Very long texts are read
-whole. Repeated rows get equal results; an empty table gives no rows. Several licenses are listed in
+whole. Each row is judged by itself: repeated rows, rows that share an id and rows without one give a row
+each where they hold a license; an empty table gives no rows. Several licenses are listed in
 alphabetical order. Extra columns are ignored.
 """
 
@@ -87,8 +89,8 @@ def template_keys(templates: DataFrame) -> DataFrame:
     return w.select("template", F.posexplode(keys).alias("order", "key")).distinct()
 
 
-def license_matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, license, template, contained): templates that a text holds; ``contained`` is their share."""
+def matches_by_row(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, matches): of each row that holds any template the structs (license, template, contained)."""
     spark = docs.sparkSession
     templates = template_rows(spark).cache()
     known = [(r.order, r.key, r.template) for r in template_keys(templates).collect()]
@@ -96,7 +98,8 @@ def license_matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     templates.unpersist()
     by_order = [sorted({k for o, k, _ in known if o == order}) for order in range(BANDS)]
     d = fenced(docs, F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    d = fenced(d, "doc_id", shingles_of(F.col("words")).alias("shingles")).filter(F.size("shingles") > 0)
+    d = fenced(d, "doc_id", shingles_of(F.col("words")).alias("shingles"))
+    d = d.filter(F.size("shingles") > 0)
     starts = F.sequence(F.lit(0), F.ceil(F.size("shingles") / F.lit(BLOCK)).cast("int") - 1)
     d = fenced(d, "doc_id", "shingles", F.transform(starts, lambda b: F.slice("shingles", b * BLOCK + 1, BLOCK)).alias("blocks"))
     d = fenced(d, "doc_id", "shingles", *(F.transform("blocks", of_block(c)).alias(f"m{k}") for k, c in enumerate(ORDERS)))
@@ -117,13 +120,19 @@ def license_matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         )
         for t, (name, need) in sorted(wanted.items())
     ]
-    return d.select("doc_id", F.explode(F.filter(F.array(*found), lambda m: m.isNotNull())).alias("m")).select("doc_id", "m.*").filter(F.col("contained") * DEN >= NUM)
+    d = fenced(d, "doc_id", F.array(*found).alias("found"))
+    return d.select("doc_id", F.filter("found", lambda m: m["contained"] * DEN >= NUM).alias("matches")).filter(F.size("matches") > 0)
+
+
+def license_matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, license, template, contained): templates that a text holds; ``contained`` is their share."""
+    return matches_by_row(docs, id_col, text_col).select("doc_id", F.inline("matches"))
 
 
 def license_lists(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, licenses) of documents that hold any: their distinct names, joined by commas."""
-    m = license_matches(docs, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("license")).alias("l"))
-    return m.select("doc_id", F.array_join("l", ",").alias("licenses"))
+    """(doc_id, licenses) of each row that holds any: their distinct names, joined by commas."""
+    names = F.array_sort(F.array_distinct(F.col("matches.license")))
+    return matches_by_row(docs, id_col, text_col).select("doc_id", F.array_join(names, ",").alias("licenses"))
 
 
 def op9_license_scan(spark, sf_dir):
