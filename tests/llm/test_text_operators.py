@@ -45,21 +45,24 @@ def contamination():
     return docs + [(200, None), (201, ""), (202, "ALSO item-three"), (None, "w1 w2"), (60, docs[60][1])], items
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 700])
-def test_decontamination(spark, contamination, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [decontaminate.FILTER_BITS, (64, 64)])
+def test_decontamination(spark, contamination, monkeypatch, bits):
+    """Also with a filter so small that it admits almost all fingerprints."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     docs, items = contamination
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
     for name, t in items:
         w = word.findall(lower(t))
         n = min(13, len(w))
-        for i in range(len(w) - n + 1 if w and name is not None else 0):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).update([] if name is None else [str(name)])
     bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
+    bad = next(t for k, t in items if k is not None and len((t or "").split()) == 40)
+    docs = docs + [(None, bad), (None, "clean"), (700, bad), (700, "clean too"), (701, bad)]
     got = decontaminate.decontaminate(frame(spark, docs), bench).collect()
     seen = Counter()
-    want = Counter()
+    want, clean = Counter(), Counter()
     for i, t in docs:
         w = word.findall(lower(t))
         hit, found = set(), set()
@@ -68,33 +71,28 @@ def test_decontamination(spark, contamination, monkeypatch, block):
                 if tuple(w[a : a + n]) in windows:
                     hit |= set(range(a, a + n))
                     found |= windows[tuple(w[a : a + n])]
-        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+        verdict = bool(hit) and 20 * len(hit) >= len(w)
+        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), verdict] += 1
+        clean[i, t] += not verdict
     for r in got:
         seen[r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated] += 1
+        assert sum(b - a for a, b in r.spans) == r.n_hit and len(r["items"]) == r.n_items
     assert seen == want
-    kept = decontaminate.kept_rows(frame(spark, docs), bench)
-    clean = Counter(k[0] for k, n in want.items() for _ in range(n) if not k[5])
-    assert Counter(r.doc_id for r in kept.collect()) == clean or block == 700
-    assert kept.columns == ["doc_id", "text", "n_words", "component"]
+    d = frame(spark, docs).withColumns({"spans": F.array(F.lit("x")), "t1": F.lit(7)})
+    kept = decontaminate.kept_rows(d, bench)
+    assert kept.columns == d.columns and {(tuple(r.spans), r.t1) for r in kept.collect()} == {(("x",), 7)}
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == +clean
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 700])
-def test_kept_rows_by_their_own_text(spark, contamination, monkeypatch, block):
-    """Also beyond one block of items: rows without an id and rows of a repeated id, one of them clean."""
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    docs, items = contamination
-    bad = next(t for k, t in items if k is not None and len((t or "").split()) == 40)
-    docs = docs + [(None, bad), (None, "clean"), (700, bad), (700, "clean too")]
-    d = frame(spark, docs).withColumn("spans", F.array(F.lit("x")))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    numbered = d.withColumn("doc_id", F.monotonically_increasing_id())
-    verdicts = decontaminate.decontaminate(numbered, bench).filter("NOT contaminated").select("doc_id")
-    want = numbered.join(verdicts, "doc_id").select("text")
-    kept = decontaminate.kept_rows(d, bench)
-    assert kept.columns == d.columns and {tuple(r.spans) for r in kept.collect()} == {("x",)}
-    rows = Counter((r.doc_id, r.text) for r in kept.collect())
-    assert Counter(t for _, t in rows.elements()) == Counter(r.text for r in want.collect())
-    assert rows[None, "clean"] == rows[700, "clean too"] == 1 and not rows[None, bad] and not rows[700, bad]
+def test_decontamination_plan_does_not_grow_with_the_benchmark(spark):
+    """The same steps for one item as for a benchmark of many."""
+    docs = frame(spark, [(k, f"a{k} b c d") for k in range(20)])
+    plans = []
+    for n in (1, 3000):
+        bench = spark.createDataFrame([(k, " ".join(f"i{k}x{j}" for j in range(40))) for k in range(n)], "item_id long, text string")
+        plan = decontaminate.decontaminate(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+        plans.append((plan.count("MapInArrow"), plan.count("Join")))
+    assert plans[0] == plans[1] == (1, 2)
 
 
 def test_decontamination_empty(spark):
@@ -102,6 +100,7 @@ def test_decontamination_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.decontaminate(docs, bench).collect()] == [0]
     assert decontaminate.decontaminate(docs.filter("false"), bench).count() == 0
+    assert decontaminate.kept_rows(docs, bench).collect() == docs.collect() and decontaminate.kept_rows(docs.filter("false"), bench).count() == 0
 
 
 # --- tokens and packing
