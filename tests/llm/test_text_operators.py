@@ -233,6 +233,42 @@ def test_near_duplicates(spark):
     assert near.near_duplicates(frame(spark, rows).filter("false")).count() == 0
 
 
+def test_near_duplicates_with_few_names_and_two_hops(spark, monkeypatch):
+    """Class names of 6 bits, so that most collide; blocks dealt by way of groups; lists over several places."""
+    monkeypatch.setattr(near, "LONG", 3)
+    rows = near_rows(2, 40) + [(5000, None), (None, "a b c d e f"), (5003, "a b c d e f")]
+    got = near.near_duplicates(frame(spark, rows).repartition(5), bits=6, fanout=3, part_shingles=400)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+
+
+def test_blocks_fan_out_within_bounds():
+    """A block makes no more than ``fanout`` rows of 10,000 parts, and both hops keep every shingle."""
+    rng = np.random.default_rng(3)
+    names, sizes = np.arange(50, dtype=np.int64), np.full(50, 400, np.int32)
+    owner, s = np.repeat(np.arange(50), 400), rng.integers(0, 1 << 48, 20_000).astype(np.uint64)
+    d = near.Dealing(10_000, 128)
+    first = d.first(names, sizes, owner, s)
+    assert len(first) <= 128 and d.parts == 10_112 and first.part.max() < d.parts
+    n, z, o, t, _ = near.unpacked(first)
+    assert sorted(zip(n[o].tolist(), t.tolist())) == sorted(zip(owner.tolist(), s.tolist())) and set(z.tolist()) == {400}
+    group = near.Dealing.part(d, n, o, t) // 128
+    assert (np.repeat(first.part.to_numpy() // 128, [sum(np.frombuffer(x, np.int32)) for x in first.counts]) == group).all()
+
+
+def test_frequent_shingles_are_found(spark):
+    """A passage in 1 % of the documents, spread evenly, is heavy: its shingles are dealt by set."""
+    passage = " ".join(f"p{i}" for i in range(9))
+    own = "array_join(transform(sequence(1, 12), i -> concat('q', pmod(xxhash64(id, i), 10000000))), ' ')"
+    docs = spark.range(0, 40_000, 1, 4).selectExpr("id AS doc_id", f"concat({own}, if(id % 100 = 0, ' {passage}', '')) AS text")
+    heavy = near.heavy_shingles(near.classes(docs))
+    planted = near.shingle_sets([passage])[0]
+    assert set((planted & near.MASK).tolist()) == set(heavy.tolist())
+    # dealt by set, the 400 sets that hold one such shingle go to many parts
+    names = np.arange(400, dtype=np.int64)
+    d = near.Dealing(50, near.FANOUT, spark.sparkContext.broadcast(heavy))
+    assert np.bincount(d.part(names, np.arange(400), np.full(400, planted[0]))).max() < 30
+
+
 def test_near_duplicates_in_one_large_group(spark):
     """Copies at all distances of one text: many pairs miss the threshold, chains of links join them."""
     rng = random.Random(6)

@@ -33,7 +33,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, forget, give_back, hash_texts, map_texts, mix, plain_words, prepare, rolling, saved, table
@@ -43,11 +43,12 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: No boundary above this: subsets of larger sets are too many.
 MAX_SMALL = 10
-#: A heavy shingle: in this share of a batch's sets (and so many of them), and of all documents.
-BATCH_SHARE, BATCH_SETS = 0.03, 8
-HEAVY_SHARE, HEAVY_SETS = 0.005, 64
+#: A heavy shingle: so many sets of a window of a task's sets hold it, and so many of all documents: the
+#: lesser of a share of them and a count, but not below HEAVY_SETS.
+WINDOW_SHINGLES, WINDOW_SETS = 2_000_000, 8
+HEAVY_SHARE, HEAVY_COUNT, HEAVY_SETS = 0.005, 20_000, 64
 #: So many heavy shingles at most, the most frequent ones: 8 bytes each are sent to the tasks.
-MAX_HEAVY = 65_536
+MAX_HEAVY = 1 << 20
 LAST = 0xFFFFFFFF
 #: Shingles are kept as 48-bit hashes once their set is known; the set's own name hashes all 64 bits.
 BYTES = 6
@@ -55,6 +56,10 @@ MASK = U64((1 << 8 * BYTES) - 1)
 #: Shingles of one shuffled block of sets at most (memory of a task that makes blocks), and a part.
 BLOCK_SHINGLES = 1_000_000
 PART_SHINGLES = 2_000_000
+#: A block is dealt to so many parts at most; where there are more, it goes by way of groups of parts.
+FANOUT = 4096
+#: Members of a list that meet in one place; longer lists are dealt over several.
+LONG = 512
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -70,10 +75,12 @@ def shingle_sets(texts) -> list[np.ndarray]:
     return out
 
 
-def name_of(s: np.ndarray) -> int:
-    """The class: a 64-bit hash of the sorted set, as a signed number."""
+def name_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The class: a hash of the sorted set of ``bits`` bits, and a check, another hash of 64."""
     i = np.arange(1, len(s) + 1, dtype=U64)
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(s + i * U64(0x9E3779B97F4A7C15))) + U64(len(s))]))[0].astype(np.int64))
+    name, check = (np.bitwise_xor.reduce(mix(s + i * U64(c))) + U64(len(s)) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+    name, check = mix(np.array([name, check]))
+    return int((name >> U64(64 - bits)).astype(np.int64)), int(check.astype(np.int64))
 
 
 def narrow(s: np.ndarray) -> bytes:
@@ -114,26 +121,55 @@ def boundary(sizes: dict[int, int]) -> int:
     return min(range(MAX_SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def classes(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n, cls, tokens, frequent): set size, class name (null for an empty set), the shingles of small
-    sets, and on the first row of a batch the shingles that many of its sets hold, with their counts."""
-
-    def frequent(sets, names) -> bytes | None:
-        several = {name: s for name, s in zip(names, sets) if name is not None}
-        if len(several) < BATCH_SETS:
-            return None
-        found, count = np.unique(np.concatenate(list(several.values())) & MASK, return_counts=True)
-        many = count >= max(BATCH_SETS, BATCH_SHARE * len(several))
-        return found[many].astype("<u8").tobytes() + count[many].astype("<u4").tobytes() if many.any() else None
-
-    def of(texts):
-        sets = shingle_sets(texts)
-        names = [name_of(s) if len(s) else None for s in sets]
-        small = [narrow(s) if 0 < len(s) <= MAX_SMALL else None for s in sets]
-        first = [frequent(sets, names), *[None] * (len(sets) - 1)][: len(sets)]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(small, pa.binary()), pa.array(first, pa.binary())]
-
-    return map_texts(docs, lambda: of, "n long, cls long, tokens binary, frequent binary", id_col, text_col)
+def classes(docs: DataFrame, id_col="doc_id", text_col="text", bits: int = 64) -> DataFrame:
+    """(doc_id, n, cls, check, tokens, frequent): set size, class name and check (null for an empty set), the
+    shingles of small sets, and now and then, for the sets a task has read since, the shingles that many of
+    them hold, with their counts."""
+
+    def make():
+        held, names_held, size, batches, due = [], set(), 0, 0, 1
+
+        def frequent() -> bytes | None:
+            if len(held) < WINDOW_SETS:
+                return None
+            found, count = np.unique(np.concatenate(held) & MASK, return_counts=True)
+            many = count >= WINDOW_SETS
+            return found[many].astype("<u8").tobytes() + count[many].astype("<u4").tobytes() if many.any() else None
+
+        def of(texts):
+            nonlocal size, batches, due
+            sets = shingle_sets(texts)
+            names = [name_of(s, bits) if len(s) else (None, None) for s in sets]
+            small = [narrow(s) if 0 < len(s) <= MAX_SMALL else None for s in sets]
+            first = [None] * len(sets)
+            for k, (s, name) in enumerate(zip(sets, names)):
+                if len(s) and name not in names_held:
+                    names_held.add(name)
+                    held.append(s)
+                    size += len(s)
+                    if size >= WINDOW_SHINGLES:
+                        first[k], size = frequent(), 0
+                        held.clear()
+                        names_held.clear()
+            batches += 1
+            if batches == due and sets:
+                due *= 2
+                if first[-1] is None:
+                    first[-1], size = frequent(), 0
+                    held.clear()
+                    names_held.clear()
+            cls, check = zip(*names) if names else ((), ())
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(small, pa.binary()), pa.array(first, pa.binary())]
+
+        return of
+
+    return map_texts(docs, make, "n long, cls long, check long, tokens binary, frequent binary", id_col, text_col)
+
+
+def class_sizes(own: DataFrame) -> DataFrame:
+    """A table (cls, n, tokens, c0, c1): a row per class, with the least and the largest check."""
+    some = own.filter("cls IS NOT NULL").groupBy("cls")
+    return saved(some.agg(F.max("n").alias("n"), F.max("tokens").alias("tokens"), F.min("check").alias("c0"), F.max("check").alias("c1")), "class-sizes")
 
 
 def heavy_shingles(own: DataFrame) -> np.ndarray:
@@ -141,14 +177,15 @@ def heavy_shingles(own: DataFrame) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            for raw in b["frequent"]:
+            for raw in b.column(0).to_pylist():
                 n = len(raw) // 12
-                yield pd.DataFrame({"s": np.frombuffer(raw[: 8 * n], "<i8"), "k": np.frombuffer(raw[8 * n :], "<u4").astype(np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw[: 8 * n], "<i8")), pa.array(np.frombuffer(raw[8 * n :], "<u4").astype(np.int64))], names=["s", "k"])
 
     docs = own.agg(F.count(F.lit(1))).first()[0]
-    found = own.filter("frequent IS NOT NULL").select("frequent").mapInPandas(run, "s long, k long").groupBy("s").agg(F.sum("k").alias("k"))
-    top = found.filter(F.col("k") >= max(HEAVY_SETS, HEAVY_SHARE * docs)).orderBy(F.desc("k"), "s").limit(MAX_HEAVY).collect()
-    return np.array(sorted(r.s for r in top), U64)
+    found = own.filter("frequent IS NOT NULL").select("frequent").mapInArrow(run, "s long, k long").groupBy("s").agg(F.sum("k").alias("k"))
+    least = max(HEAVY_SETS, min(HEAVY_SHARE * docs, HEAVY_COUNT))
+    top = found.filter(F.col("k") >= least).orderBy(F.desc("k"), "s").limit(MAX_HEAVY).select("s").toArrow()
+    return np.sort(top["s"].to_numpy().astype(U64))
 
 
 def is_heavy(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -156,32 +193,91 @@ def is_heavy(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), bool)
 
 
-def listed_blocks(docs: DataFrame, least: int, parts: int, heavy, text_col="text") -> DataFrame:
-    """Sets of at least ``least`` shingles, dealt by shingle (heavy ones by set) into ``parts``: packed blocks of
-    (classes, sizes, counts, shingles). A task sends each class once, however many copies it reads."""
+BLOCK = "part int, names binary, sizes binary, counts binary, shingles binary, freqs binary"
+
+
+def blocks(to, names, sizes, owner, s, freq=None) -> pd.DataFrame:
+    """Rows BLOCK: the shingles ``s`` of the sets ``owner``, by the part ``to`` that each goes to."""
+    order = np.lexsort((owner, to))
+    to, owner, s = to[order], owner[order], s[order]
+    freq = None if freq is None else freq[order].astype("<u4")
+    rows, cut = [], np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        who, count = np.unique(owner[a:b], return_counts=True)
+        rows.append((int(to[a]), names[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), narrow(s[a:b]), b"" if freq is None else freq[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["part", "names", "sizes", "counts", "shingles", "freqs"])
+
+
+def unpacked(pdf: pd.DataFrame):
+    """(names, sizes, owner, shingles, freqs) of BLOCK rows laid end to end."""
+    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+    names = join("names", np.int64)
+    return names, join("sizes", np.int32), np.repeat(np.arange(len(names)), join("counts", np.int32)), np.concatenate([widen(x) for x in pdf["shingles"]]), join("freqs", "<u4")
+
+
+class Dealing:
+    """How shingles go to ``parts`` parts: by shingle (a heavy one by set), or by class. Where the parts are
+    more than ``fanout``, a block's rows go first to groups of ``fanout`` parts, each group in as many
+    places, and are gathered into new blocks there: a block makes ``fanout`` rows at most in either step,
+    so that rows grow with the shingles and not with blocks times parts."""
+
+    def __init__(self, parts: int, fanout: int, heavy=None):
+        self.fanout, self.heavy = fanout, heavy
+        self.parts = parts if parts <= fanout else -(-parts // fanout) * fanout
+
+    def part(self, names, owner, s) -> np.ndarray:
+        by_class = mix(names.astype(U64))[owner]
+        key = by_class if self.heavy is None else np.where(is_heavy(s, self.heavy.value), by_class, s & MASK)
+        return (mix(key) % U64(self.parts)).astype(np.int64)
+
+    def first(self, names, sizes, owner, s, freq=None) -> pd.DataFrame:
+        to = self.part(names, owner, s)
+        if self.parts > self.fanout and len(names):
+            to = to // self.fanout * self.fanout + int(mix(names[:1].astype(U64) + U64(len(s)))[0]) % self.fanout
+        return blocks(to, names, sizes, owner, s, freq)
+
+    def deal(self, d: DataFrame) -> DataFrame:
+        """The rows of ``first``, each at its part."""
+        d = d.repartitionById(self.parts, "part")
+        if self.parts <= self.fanout:
+            return d
+
+        def again(rows):
+            names, sizes, owner, s, freq = unpacked(pd.concat(rows))
+            return blocks(self.part(names, owner, s), names, sizes, owner, s, freq if len(freq) else None)
+
+        def run(batches):
+            held, size = [], 0
+            for b in batches:
+                for k in range(len(b)):
+                    held.append(b.iloc[k : k + 1])
+                    size += len(b["shingles"].iloc[k]) // BYTES
+                    if size >= BLOCK_SHINGLES:
+                        yield again(held)
+                        held, size = [], 0
+            if held:
+                yield again(held)
+
+        return d.mapInPandas(run, BLOCK).repartitionById(self.parts, "part")
+
+
+def listed_blocks(docs: DataFrame, least: int, dealing: Dealing, text_col="text", bits: int = 64, renamed=frozenset()) -> DataFrame:
+    """Sets of at least ``least`` shingles, packed for ``dealing``. A task sends each class once, however many
+    copies it reads. Names in ``renamed`` are those of several classes."""
 
     def flush(sets):
-        names = np.array([s[0] for s in sets], np.int64)
-        sizes = np.array([len(s[1]) for s in sets], np.int32)
-        all_s = np.concatenate([s[1] for s in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        by_set = mix(names.astype(U64))[owner]
-        part = (np.where(is_heavy(all_s, heavy.value), by_set, all_s) % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            o = order[ends[p] : ends[p + 1]]
-            if len(o):
-                who, count = np.unique(owner[o], return_counts=True)
-                rows.append((p, names[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), narrow(all_s[o])))
-        return pd.DataFrame(rows, columns=["part", "names", "sizes", "counts", "shingles"])
+        names, sizes = np.array([s[0] for s in sets], np.int64), np.array([len(s[1]) for s in sets], np.int32)
+        return dealing.first(names, sizes, np.repeat(np.arange(len(sets)), sizes), np.concatenate([s[1] for s in sets]))
 
     def run(batches):
         seen, sets, held = set(), [], 0
         for b in batches:
             for s in shingle_sets(b["text"]):
-                if len(s) >= least and (name := name_of(s)) not in seen:
+                if len(s) < least:
+                    continue
+                name, check = name_of(s, bits)
+                name ^= check if name in renamed else 0
+                if name not in seen:
                     seen.add(name)
                     sets.append((name, s))
                     held += len(s)
@@ -193,53 +289,41 @@ def listed_blocks(docs: DataFrame, least: int, parts: int, heavy, text_col="text
         sets = seen = None
         give_back()
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part int, names binary, sizes binary, counts binary, shingles binary")
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, BLOCK)
 
 
-def shared_shingles(blocks: DataFrame, parts: int, heavy) -> DataFrame:
-    """Of each class the shingles that other classes hold too, with their frequencies, packed into one row
-    for each part and ``bucket`` of classes."""
+def shared_shingles(listed: DataFrame, dealing: Dealing, by_class: Dealing) -> DataFrame:
+    """Of each class the shingles that other classes hold too, with their frequencies, packed for ``by_class``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
-        names, sizes, counts = join("names", np.int64), join("sizes", np.int32), join("counts", np.int32)
-        s = np.concatenate([widen(x) for x in pdf["shingles"]])
-        who = np.repeat(np.arange(len(names)), counts)
+        names, sizes, who, s, _ = unpacked(pdf)
         order = np.lexsort((names[who], s))
         s, who = s[order], who[order]
         # a class that several tasks sent has equal shingles more than once
         new = np.r_[True, (s[1:] != s[:-1]) | (names[who[1:]] != names[who[:-1]])]
         s, who = s[new], who[new]
         group = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
-        freq = np.where(is_heavy(s, heavy.value), LAST, np.bincount(group)[group])
+        freq = np.where(is_heavy(s, dealing.heavy.value), LAST, np.bincount(group)[group])
         keep = freq > 1
         s, who, freq = s[keep], who[keep], freq[keep]
-        bucket = (mix(names[who].astype(U64)) % U64(parts)).astype(np.int64)
-        order = np.lexsort((names[who], bucket))
-        s, who, freq, bucket = s[order], who[order], freq[order], bucket[order]
-        rows = []
-        for k in np.unique(bucket):
-            i = slice(*np.searchsorted(bucket, [k, k + 1]))
-            first = np.flatnonzero(np.r_[True, names[who[i]][1:] != names[who[i]][:-1]])
-            n = np.diff(np.r_[first, len(who[i])]).astype(np.int32)
-            rows.append((int(k), names[who[i]][first].tobytes(), sizes[who[i]][first].tobytes(), n.tobytes(), narrow(s[i]), freq[i].astype("<u4").tobytes()))
-        s = who = freq = bucket = order = group = new = keep = None
+        # one owner a class
+        unique, first, of = np.unique(names, return_index=True, return_inverse=True)
+        out = by_class.first(unique, sizes[first], of[who], s, freq)
+        s = who = freq = order = group = new = keep = None
         give_back()
-        return pd.DataFrame(rows, columns=["bucket", "names", "sizes", "counts", "shingles", "freqs"])
+        return out
 
-    return blocks.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "bucket int, names binary, sizes binary, counts binary, shingles binary, freqs binary")
+    return dealing.deal(listed).groupBy("part").applyInPandas(run, BLOCK)
 
 
-def list_keys(shared: DataFrame, parts: int) -> DataFrame:
+def list_keys(shared: DataFrame, by_class: Dealing) -> DataFrame:
     """(cls, n, tokens, keys, places): all shared shingles of a class, and of those in its prefix the list
     keys with their places in its order. What only one class holds ranks first and takes up the prefix
     without needing a list; classes whose prefix holds nothing else have no row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
-        names, sizes, counts = join("names", np.int64), join("sizes", np.int32), join("counts", np.int32)
-        s, freq = np.concatenate([widen(x) for x in pdf["shingles"]]), join("freqs", "<u4")
-        cls, size = np.repeat(names, counts), np.repeat(sizes, counts)
+        names, sizes, owner, s, freq = unpacked(pdf)
+        cls, size = names[owner], sizes[owner]
         order = np.lexsort((s, freq, cls))
         s, cls, size = s[order], cls[order], size[order]
         first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
@@ -253,7 +337,7 @@ def list_keys(shared: DataFrame, parts: int) -> DataFrame:
                 rows.append((int(cls[a]), n, narrow(np.sort(s[a:b])), mix(keys).astype(np.int64).tolist(), list(range(alone, alone + len(keys)))))
         return pd.DataFrame(rows, columns=["cls", "n", "tokens", "keys", "places"])
 
-    return shared.repartitionById(parts, "bucket").groupBy("bucket").applyInPandas(run, SETS)
+    return by_class.deal(shared).groupBy("part").applyInPandas(run, SETS)
 
 
 def subset_rows(small: DataFrame) -> DataFrame:
@@ -324,48 +408,80 @@ def may_link(na, pa, nb, pb):
     return F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) >= least
 
 
+def salts(size: str):
+    """Over how many places the list of a key is dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.col(size) / LONG).cast("int"))
+
+
+def at_all(d: DataFrame, size: str) -> DataFrame:
+    """Each row once for each place of its list, numbered ``salt``."""
+    return d.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(size) - 1)))
+
+
 def resolve(sets: DataFrame) -> DataFrame:
-    """(cls, root) of all classes that have links; ``sets`` has the columns SETS."""
+    """(cls, root) of all classes that have links, a table; ``sets`` has the columns SETS.
+
+    The members of a list are dealt by (key, salt), at most about LONG to a place, and what a list has in
+    common (its leaders, its size) goes to all its places. Leaders of a later round are those whose place in
+    an order by hash, a fraction of the list's size, lies in the round's range: no list is ever sorted.
+    """
     lists = sets.select("cls", "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "place"}).distinct()
     first = F.min_by(F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")), F.struct("place", "cls"))
-    shared = lists.groupBy("key").agg(first.alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = saved(lists.join(shared, "key").select("key", "cls", "n", "place", "leader.*"), "lists")
+    shared = saved(lists.groupBy("key").agg(first.alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared-keys")
+    long = shared.filter(F.col("members") > LONG).select("key", F.col("members").alias("size"))
+    lists = lists.join(long, "key", "left").withColumn("salt", F.pmod(F.xxhash64("cls"), F.coalesce(salts("size"), F.lit(1))).cast("int"))
+    lists = saved(lists.join(at_all(shared, "members"), ["key", "salt"]).select("key", "salt", "cls", "n", "place", "leader.*"), "lists")
+    forget(shared)
     sets = saved(sets.select("cls", "n", "tokens").join(lists.select("cls").distinct(), "cls", "left_semi"), "sets")
     fits = may_link("n", "place", "nb", "pb")
     pairs = lists.filter((F.col("cls") != F.col("b")) & fits).groupBy("cls").agg(F.min_by("b", F.struct("pb", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
     lo, hi = 0, 8
-    links = None
+    links = roots = open_lists = None
     while True:
         fresh = linked(pairs, sets)
+        before = [links, roots, open_lists]
         links = saved(fresh if links is None else links.unionByName(fresh), "links", few=True)
         roots = saved(components(links), "roots", few=True)
-        at = lists.select("key", "cls", "n", "place").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        for old in filter(None, before):
+            forget(old)
+        at = lists.select("key", "salt", "cls", "n", "place").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).filter("r0 <> r1")
-        open_lists = saved(at.join(mixed.select("key", "members"), "key"), "open-lists")
+        open_lists = saved(at.join(at_all(mixed.select("key", "members"), "members"), ["key", "salt"]), "open-lists")
         most = open_lists.agg(F.max("members")).first()[0]
         if most is None or lo >= most:
+            for old in (links, lists, sets, open_lists):
+                forget(old)
             return roots
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("place", "cls")) - 1
-        ranked = open_lists.withColumn("rank", rank)
-        leaders = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
-        ok = fits & (F.col("root") != F.col("rb")) & (F.col("rank") > F.col("kb"))
-        pairs = ranked.join(leaders, "key").filter(ok).select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
+        turn = F.pmod(F.xxhash64("key", "cls"), F.lit(1 << 52)).cast("double") / float(1 << 52) * F.col("members")
+        ranked = open_lists.withColumn("rank", turn)
+        leaders = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).drop("salt")
+        leaders = at_all(leaders, "members").select("key", "salt", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
+        later = (F.col("rank") > F.col("kb")) | ((F.col("rank") == F.col("kb")) & (F.col("cls") > F.col("b")))
+        ok = fits & (F.col("root") != F.col("rb")) & later
+        pairs = ranked.join(leaders, ["key", "salt"]).filter(ok).select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
         lo, hi = hi, 16 * hi
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", bits: int = 64, fanout: int = FANOUT, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``. The other parameters are those of the
+    class names and of the dealing; the result does not depend on them."""
     spark = prepare(docs.sparkSession)
-    own = saved(classes(docs, id_col, text_col), "classes")
-    sizes = own.filter("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n"), F.first("tokens").alias("tokens"))
+    own = saved(classes(docs, id_col, text_col, bits), "classes")
+    sizes = class_sizes(own)
+    # names that several classes have by chance (about n^2 / 2^65 of them) become the XOR of name and check
+    renamed = frozenset(r.cls for r in sizes.filter("c0 <> c1").select("cls").collect())
+    if renamed:
+        forget(sizes)
+        own = own.withColumn("cls", F.when(F.col("cls").isin(*renamed), F.col("cls").bitwiseXOR(F.col("check"))).otherwise(F.col("cls")))
+        sizes = class_sizes(own)
     histogram = {r["n"]: r["k"] for r in sizes.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     x = boundary(histogram)
     least = max(1, -(-NUM * (x + 1) // DEN))
     total = sizes.filter(F.col("n") >= least).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_SHINGLES))
-    heavy = spark.sparkContext.broadcast(heavy_shingles(own))
-    blocks = listed_blocks(docs, least, parts, heavy, text_col)
-    by_list = saved(list_keys(shared_shingles(blocks, parts, heavy), parts), "listed-sets")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // part_shingles))
+    dealing, by_class = Dealing(parts, fanout, spark.sparkContext.broadcast(heavy_shingles(own))), Dealing(parts, fanout)
+    listed = listed_blocks(docs, least, dealing, text_col, bits, renamed)
+    by_list = saved(list_keys(shared_shingles(listed, dealing, by_class), by_class), "listed-sets")
     # small sets keep all their shingles; where one goes both ways its two lists of keys are joined
     by_subset = subset_rows(sizes.filter(F.col("n") <= x))
     both = by_list.filter(F.col("n") <= x).withColumn("whole", F.lit(False)).unionByName(by_subset.withColumn("whole", F.lit(True)))
@@ -373,6 +489,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     small = saved(both.groupBy("cls").agg(F.max("n").alias("n"), F.max_by("tokens", "whole").alias("tokens"), joined("keys"), joined("places")), "small-sets", few=True)
     sets = by_list.filter(F.col("n") > x).unionByName(small)
     roots = resolve(sets)
+    for old in (sizes, by_list, small):
+        forget(old)
     named = own.select("doc_id", "n", "cls").join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("component"))
     least_id = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
     return named.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
