@@ -1,15 +1,20 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again.
 
-Rows without a doc_id pass the filters on their text like all others; as they can't be told apart by id,
-the near-duplicate stage keeps them all.
+Cases: rows are judged one by one, by their texts: rows without a doc_id, rows that share one and rows
+with other columns than usual are rows like all others. Null and empty texts pass or fail the classifiers
+by the score of an empty text, are linked with nothing and hold no benchmark passage. Of a group of near
+duplicates one row stays, the first by doc_id (null last) and, among rows of one id, by a hash of the whole row;
+of rows equal in all columns one stays. Without labels the classifiers keep or drop all rows alike (see
+their modules); an empty benchmark drops none; an empty table gives an empty result.
 """
 
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from tidemark.llm import decontaminate, near, packing, quality, toxicity
-from tidemark.llm.common import fold, saved, shared_dir, table
+from tidemark.llm.common import fold, forget, saved, shared_dir, table
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -24,20 +29,44 @@ def toxicity_stage(spark, docs, sf_dir):
     return toxicity.kept_rows(docs, model)
 
 
+def unhashable(kind) -> bool:
+    """Whether a column of this type has to be hashed as JSON."""
+    if isinstance(kind, ArrayType):
+        return unhashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(unhashable(f.dataType) for f in kind.fields)
+    return isinstance(kind, (MapType, VariantType))
+
+
+def row_key(docs, id_col="doc_id"):
+    """A struct that orders rows by id, nulls last, and tells rows apart that differ in any column: a hash of
+    128 bits, which marks nulls, as hashing passes over them."""
+    values = [x for f in docs.schema.fields for c in [F.col(f"`{f.name}`")] for x in (c.isNull(), F.to_json(F.struct(c)) if unhashable(f.dataType) else c)]
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b"))
+
+
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Of each group of linked documents keep the one with the smallest doc_id.
+    """Of each group of linked documents keep one row, the first by ``row_key``.
 
-    The ids that go are the smaller side: while Spark finds their table below its broadcast threshold, no
-    text is shuffled; beyond it the join deals both sides by id.
+    The keys that go are a table, the smaller side of an anti-join: while Spark finds it below its broadcast
+    threshold, no text is shuffled; beyond it the join deals both sides by key. Rows equal in all columns
+    have one key; of these, one is kept by an aggregation over such rows alone.
     """
-    found = saved(near.near_duplicates(docs), "components")
-    gone = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone-ids", few=True)
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key(docs))
+    found = saved(near.near_duplicates(keyed, id_col=key), "components")
+    gone = saved(found.filter("doc_id <> component_id").select("doc_id.a", "doc_id.b").distinct(), "gone-rows", few=True)
+    again = found.filter("doc_id = component_id").filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id.a", "doc_id.b")
+    again = saved(again, "equal-rows", few=True)
+    forget(found)
+    by = lambda t: [F.col(key)["a"] == t["a"], F.col(key)["b"] == t["b"]]
+    out = keyed.join(gone, by(gone), "left_anti")
     if again.limit(1).count():
-        named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        out = named.unionByName(out.filter("doc_id IS NULL"))
-    return out
+        copies = out.join(again, by(again), "left_semi").groupBy(F.col(key)["a"], F.col(key)["b"]).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+        return out.join(again, by(again), "left_anti").select(docs.columns).unionByName(copies)
+    return out.select(docs.columns)
 
 
 def decontamination_stage(spark, docs, sf_dir):
@@ -57,16 +86,20 @@ STAGES = [
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
-#: Trained models and tokenizers have no SQL; tests hold the stages against brute force.
+#: Trained models and tokenizers have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to ``documents``; what a stage returns is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``. What a stage returns is a table in the shared folder, which goes when
+    the next stage's is written; the last one's input stays, as its result is read later."""
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
