@@ -336,32 +336,84 @@ def test_licenses_by_row(spark):
 # --- language model
 
 
-def test_lm_scores(spark):
+def lm_rows():
     rng = random.Random(12)
     base = [f"v{i}" for i in range(300)]
     chain = lambda n: " ".join(base[(s + i) % 300] for s in [rng.randrange(300)] for i in range(n))
     rows = [(k, chain(rng.randrange(5, 80)) if k % 2 else " ".join(rng.choice(base) for _ in range(50)).upper()) for k in range(300)]
-    rows += [(500, None), (501, ""), (502, "never seen words"), (None, "v1 v2"), (4, rows[4][1])]
-    got = lm.lm_scores(frame(spark, rows), fold("doc_id", 5) != 1).collect()
+    return rows + [(500, None), (501, ""), (502, "never seen words"), (None, "v1 v2"), (None, "v1 v2"), (4, rows[4][1]), (503, "v1"), (1, rows[4][1])]
+
+
+def brute_lm(rows):
+    """Per row (id, tokens, known, N, base, score), by the interpolated probabilities in closed form."""
     toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
     train = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1
-    c = Counter(w for i, t in rows if train(i) for w in toks(t))
-    n, v = sum(c.values()), len(c)
-    want = Counter((i, len(toks(t)), sum(c[w] > 0 for w in toks(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks(t)), 6)) for i, t in rows)
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    held = [r for r in got if r.doc_id is not None and r.doc_id < 300 and not train(r.doc_id)]
-    assert sum(r.score for r in held if r.doc_id % 2) > 0.6 * sum(r.base_score for r in held if r.doc_id % 2)
-    assert sum(r.score for r in held if not r.doc_id % 2) > 1.05 * sum(r.base_score for r in held if not r.doc_id % 2)
+    c, context = Counter(), Counter()
+    for i, t in rows:
+        if train(i):
+            w = ["<start>", *toks(t)]
+            for j in range(1, len(w)):
+                for size in (1, 2, 3):
+                    if j - size + 1 >= 0:
+                        c[tuple(w[j - size + 1 : j + 1])] += 1
+                        context[tuple(w[j - size + 1 : j])] += 1
+    n, v = context[()], sum(len(k) == 1 for k in c)
+
+    def p(h, w):
+        if not h:
+            return (c[w,] + 0.5) / (n + 0.5 * (v + 1))
+        mu = lm.MU[len(h) + 1]
+        return (c[(*h, w)] + mu * p(h[1:], w)) / (context[h] + mu)
+
+    out = Counter()
+    for i, t in rows:
+        w = ["<start>", *toks(t)]
+        score = sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(1, len(w)))
+        known = sum(c[x,] > 0 for x in w[1:])
+        out[i, len(w) - 1, known, n, round(sum(math.log10(p((), x)) for x in w[1:]), 6), round(score, 6)] += 1
+    return out, p, [k[0] for k in c if len(k) == 1], context
+
+
+@pytest.mark.parametrize("docs, grams", [(lm.BLOCK_DOCS, lm.PART_GRAMS), (40, 500)])
+def test_lm_scores(spark, monkeypatch, docs, grams):
+    """Against brute force, in one block and in many blocks and parts."""
+    monkeypatch.setattr(lm, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(lm, "PART_GRAMS", grams)
+    rows = lm_rows()
+    got = lm.lm_scores(frame(spark, rows), fold("doc_id", 5) != 1).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == brute_lm(rows)[0]
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 300 and zlib.crc32(str(r.doc_id).encode()) % 5 == 1]
+    assert sum(r.score for r in held if r.doc_id % 2) > 0.8 * sum(r.base_score for r in held if r.doc_id % 2)
+    assert sum(r.score for r in held if not r.doc_id % 2) > 1.02 * sum(r.base_score for r in held if not r.doc_id % 2)
+
+
+def test_lm_edges(spark):
+    rows = lm_rows()
     assert lm.lm_scores(frame(spark, rows).filter("false"), F.lit(True)).count() == 0
-    assert all(r.n_known == 0 for r in lm.lm_scores(frame(spark, rows), F.lit(False)).collect())
+    assert all(r.n_known == 0 and abs(r.score - r.base_score) < 1e-9 for r in lm.lm_scores(frame(spark, rows), F.lit(False)).collect())
 
 
 def test_lm_probabilities_sum_to_one():
-    """Over all next tokens, from any state of the weight."""
-    c, pairs = {"a": 3, "b": 2, "$": 2}, {("a", "b"): 2, ("a", "$"): 1}
-    n, v = 7, 3
-    total = 0.0
+    """Over all next tokens, from states of two, one and no words, by the automaton's weights."""
+    _, p, words, context = brute_lm(lm_rows())
+    for h in [h for h in context if len(h) == 2][:20] + [(w,) for w in words[:5]] + [(), ("unmet", "pair")]:
+        assert abs(sum(p(h, w) for w in words) + p(h, "unmet") - 1) < 1e-9
+    # the same weights, read by the automaton: a text of three tokens whose last one varies
+    c1, c2, c3 = {"a": 3, "b": 2, "$": 2}, {("b", "a"): 1, ("b", "$"): 1}, {("a", "b", "$"): 1, ("a", "b", "a"): 1}
+    n, v, total = 7, 3, 0.0
+    head = lambda m: m.read(0, 2)
     for w in ["a", "b", "$", "?"]:
-        base = (c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
-        total += 10 ** lm.Automaton(np.array([pairs.get(("a", w), 0) / 3]), np.array([base])).read(0, 1)
+        c = {1: np.array([3.0, 2, c1.get(w, 0)]), 2: np.array([1.0, 2, c2.get(("b", w), 0)]), 3: np.array([0.0, 1, c3.get(("a", "b", w), 0)])}
+        m = lm.Automaton(c, np.array([0]), 2, (c[1] + 0.5) / (n + 0.5 * (v + 1)))
+        total += 10 ** (m.read(0, 3) - head(m))
     assert abs(total - 1) < 1e-9
+
+
+def test_lm_keys_and_counts_pack():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 500):
+        k = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        assert (lm.unpack_keys(lm.pack_keys(k)) == k).all()
+    for top in (1, 255, 256, 1 << 33):
+        assert lm.unpack_counts(lm.pack_counts(np.array([0, top]))).tolist() == [0, top]
+    assert lm.edges(1).tolist() == [0] and lm.edges(4).tolist() == [0, 1 << 62, 2 << 62, 3 << 62]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U64 = np.uint64
 
 
@@ -44,7 +45,13 @@ def saved(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if few:
         df = df.coalesce(4 * max(1, spark.sparkContext.defaultParallelism // 4))
-    df.write.option("compression", "zstd").parquet(path)
+    # the shuffles behind a table that is written are not read again
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,32 +1,29 @@
-"""Language-model scoring with a weighted backoff automaton over words.
+"""Language-model scoring with a weighted backoff automaton of n-grams up to order 3.
 
-Tokens are words and one end a text. The automaton's states are the last word (or the start); a state's
-arcs are the bigrams met in training, weighted c(h w) / c(h), and where it has no arc for a word its
-failure arc leads to the state without context, whose arcs are the additively smoothed unigrams of the
-base score (unknown words share one arc there). One left-to-right pass carries the state and adds up
-log10 of
+Tokens are words and one end a text. The automaton has a state for each context met in training: pairs of
+words, single words (the start of a text is one), and the empty context. A state's arcs are the n-grams
+that continue it; where it has no arc for a token, its failure arc leads, at a weight, to the state of its
+shorter context, down to the empty one, whose arcs are the additively smoothed unigrams of the base score
+(unknown words share one arc there). An arc leads to the longest context that its token ends. One
+left-to-right traversal carries the state and adds up log10 of the weights it passes. The weights are
 
-    p(w | h) = a * c(h w) / c(h) + (1 - a) * p0(w)
+    arc of w at h:  (c(h w) + mu * p(w | shorter h)) / (c(h) + mu)       failure arc of h:  mu / (c(h) + mu)
 
-The weight ``a`` of the bigram arcs against the failure arc is carried with the state: it starts low and
-follows, by Bayes' rule with a small share of the start value mixed in, how well each side has foretold
-the text so far. So a text pays a hundredth of a digit a word for arcs that never help, and one that
-follows known word sequences is soon read along them. All of it is fixed before a token is seen, so that
-the probabilities of a token's values sum to at most one.
+which is interpolation with a Dirichlet prior (the shorter context's distribution, worth ``MU`` tokens):
+fixed for each state, and the probabilities of all next tokens sum to one from every state.
 
-Counts cover all training rows. Documents are dealt into blocks. A block sends the distinct words and
-bigrams of its texts, hashed, with their counts in its own training rows, dealt by hash into parts; a part
-adds up what all blocks sent and returns to each block the totals that differ from the block's own. So
-each block gets the part of the automaton its texts can visit, and no table of all n-grams exists in one
-place. A frequent word is one entry a block, however often it occurs.
+Counts cover all training rows. Documents are dealt into blocks. A block sends the distinct n-grams of its
+texts, as sorted 64-bit hashes, with their counts in its own training rows, to parts by range of the hash; a
+part adds up what all blocks sent and returns to each block, in the order it sent them, the totals. So each
+block gets the part of the automaton its texts can visit, and no table of all n-grams exists in one place.
+A frequent word is one entry a block, however often it occurs.
 
 Cases: null and empty texts have one token, the end. Very long texts are read whole. Repeated rows train
-and score as often as they occur. Without training rows N and V are 0 and every count is 0. An empty
+and score as often as they occur; rows without an id are dealt by their place in the input, others by id and
+text. Without training rows N and V are 0, every count is 0 and the score is the base score. An empty
 table gives no rows. Extra columns are ignored. A null doc_id counts as empty text for the fold.
 """
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,29 +34,39 @@ from .common import U64, fold, give_back, hash_words, mix, plain_words, prepare,
 
 #: Sizes of a block of documents: what one task holds in memory.
 BLOCK_DOCS = 4096
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 #: n-grams that one part adds up.
 PART_GRAMS = 3_000_000
-#: The bigram weight at the start, and the share of it mixed in after each token.
-START_WEIGHT = 0.3
-SHARE = 0.03
+#: Tokens that the shorter context is worth, by order. Chosen on held-out rows of tables of 1,000 to 40,000
+#: documents: the best of 1000, 3000 and 10000 for pairs, and near the best of 30, 100 and 300 for triples.
+MU = {2: 10_000.0, 3: 50.0}
+ORDERS = (1, 2, 3)
 END = U64(0x2545F4914F6CDD1D)
 START = U64(0x9E6C63D0876A9A47)
 
 
-def sequences(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts end to end: token hashes, the hashes of the bigrams that end in them, and offsets."""
+def sequences(texts) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Of all texts end to end: by order the hashes of the n-grams that end in each token, and offsets. The
+    start of a text counts as a word, once: first tokens end a pair with it, and no triple (0)."""
     words = [plain_words(t, lower=True) for t in texts]
     at = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) + 1 for w in words], out=at[1:])
-    h = np.full(at[-1], END, U64)
+    one = np.full(at[-1], END, U64)
     inner = np.ones(at[-1], bool)
     inner[at[1:] - 1] = False
-    h[inner] = hash_words([w for ws in words for w in ws])
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[at[:-1]] = START
-    return h, mix(before * U64(0x9E3779B97F4A7C15) + h), at
+    one[inner] = hash_words([w for ws in words for w in ws])
+    two = mix(shifted(one, at, START) * U64(0x9E3779B97F4A7C15) + one)
+    three = mix(shifted(two, at, START) * U64(0xD6E8FEB86659FD93) + one)
+    three[at[:-1]] = 0
+    return {1: one, 2: two, 3: three}, at
+
+
+def shifted(x: np.ndarray, at: np.ndarray, first) -> np.ndarray:
+    """The value before each token of its text; ``first`` for first tokens."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[at[:-1]] = first
+    return out
 
 
 def counts(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,98 +75,140 @@ def counts(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return unique, np.bincount(where, weights=trains, minlength=len(unique)).astype(np.int64), where
 
 
-def pack(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first, and the steps to the next ones in as many bytes as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    width = raw[8]
+    out = np.zeros((1 + (len(raw) - 9) // width, 8), np.uint8)
+    out[0] = np.frombuffer(raw[:8], np.uint8)
+    out[1:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(out.view("<u8").ravel(), dtype=U64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    kind = "<u1" if n.max() < 1 << 8 else "<u4" if n.max() < 1 << 32 else "<u8"
+    return bytes([int(kind[2])]) + n.astype(kind).tobytes()
 
 
-def unpack(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def edges(parts: int) -> np.ndarray:
+    """The least key of each part; ``parts`` is a power of two."""
+    return np.arange(parts, dtype=U64) << U64(64 - (parts.bit_length() - 1)) if parts > 1 else np.zeros(1, U64)
 
 
 def with_blocks(docs: DataFrame, trains, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), trains.alias("t"))
     n, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_DOCS), -(-int(size) // BLOCK_BYTES))
-    key = F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    key = F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64), place)
     return d.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")), blocks, int(size) // 5 + n
 
 
-def sent_grams(d: DataFrame, blocks: int, parts: int, width: int) -> DataFrame:
-    """(part, block, kind, keys, n): kind 1 words (8 bytes a key), kind 2 bigrams (``width`` bytes)."""
+def sent_grams(d: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """(part, block, size, keys, n): the n-grams of order ``size`` and their counts in training."""
+    low = edges(parts)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, bigrams, at = sequences(pdf["text"])
+        grams, at = sequences(pdf["text"])
         t = np.repeat(pdf["t"].to_numpy(bool), np.diff(at))
-        mask = U64((1 << 8 * width) - 1)
         rows = []
-        for kind, keys in ((1, words), (2, bigrams & mask)):
+        for size in ORDERS:
+            keys = grams.pop(size)
             unique, n, _ = counts(keys, t)
-            part = (mix(unique) % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                o = order[ends[p] : ends[p + 1]]
-                if len(o):
-                    rows.append((p, pdf["block"].iloc[0], kind, pack(unique[o], 8 if kind == 1 else width), n[o].astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["part", "block", "kind", "keys", "n"])
+            cut = [*np.searchsorted(unique, low).tolist(), len(unique)]
+            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                if b > a:
+                    rows.append((p, pdf["block"].iloc[0], size, pack_keys(unique[a:b]), pack_counts(n[a:b])))
+        give_back()
+        return pd.DataFrame(rows, columns=["part", "block", "size", "keys", "n"])
 
-    return d.select("block", "text", "t").repartitionById(blocks, "block").groupBy("block").applyInPandas(run, "part int, block int, kind int, keys binary, n binary")
+    return d.select("block", "text", "t").repartitionById(blocks, "block").groupBy("block").applyInPandas(run, "part int, block int, size int, keys binary, n binary")
 
 
-def returned_grams(sent: DataFrame, parts: int, width: int) -> DataFrame:
-    """(block, kind, keys, n): totals that differ from what the block itself sent; block -1: N and V."""
+def returned_grams(sent: DataFrame, parts: int) -> DataFrame:
+    """(block, part, size, n): the totals of what a block sent, in its order; block -1: N and V."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for kind, some in pdf.groupby("kind"):
-            w = 8 if kind == 1 else width
-            keys = [unpack(x, w) for x in some["keys"]]
-            n = [np.frombuffer(x, "<u4").astype(np.int64) for x in some["n"]]
+        rows, part = [], int(pdf["part"].iloc[0])
+        for size, some in pdf.groupby("size"):
+            keys = [unpack_keys(x) for x in some["keys"]]
             unique, where = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate(n), minlength=len(unique)).astype(np.int64)
-            if kind == 1:
-                rows.append((-1, 1, np.array([total.sum(), (total > 0).sum()], "<i8").tobytes(), b""))
+            total = np.bincount(where, weights=np.concatenate([unpack_counts(x) for x in some["n"]]), minlength=len(unique)).astype(np.int64)
+            if size == 1:
+                rows.append((-1, part, 1, pack_counts(np.array([total.sum(), (total > 0).sum()]))))
             start = 0
-            for block, k, own in zip(some["block"], keys, n):
-                mine = total[where[start : start + len(k)]]
+            for block, k in zip(some["block"], keys):
+                rows.append((block, part, size, pack_counts(total[where[start : start + len(k)]])))
                 start += len(k)
-                new = mine != own
-                if new.any():
-                    rows.append((block, kind, pack(k[new], w), mine[new].astype("<i8").tobytes()))
-        return pd.DataFrame(rows, columns=["block", "kind", "keys", "n"])
+        give_back()
+        return pd.DataFrame(rows, columns=["block", "part", "size", "n"])
 
-    return sent.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "block int, kind int, keys binary, n binary")
+    return sent.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "block int, part int, size int, n binary")
 
 
-def lookup(keys: np.ndarray, own: np.ndarray, replies: pd.DataFrame, width: int) -> np.ndarray:
-    """The totals of ``keys``: the replies where there is one, else the block's own counts."""
-    out = own.copy()
-    if len(replies):
-        k = np.concatenate([unpack(x, width) for x in replies["keys"]])
-        out[np.searchsorted(keys, k)] = np.concatenate([np.frombuffer(x, "<i8") for x in replies["n"]])
+def totals(unique: np.ndarray, replies: dict[int, bytes], low: np.ndarray) -> np.ndarray:
+    """The training counts of a block's distinct n-grams, from its replies by part."""
+    cut = [*np.searchsorted(unique, low).tolist(), len(unique)]
+    got = [unpack_counts(replies[p]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    out = np.concatenate(got) if got else np.empty(0, np.int64)
+    if len(out) != len(unique):
+        raise ValueError("the documents of a block differ from those that were counted")
     return out
 
 
 class Automaton:
-    """The part of the automaton that a block's texts visit: ``arc[i]`` is the weight of the bigram arc
-    that token ``i`` follows (0: there is none), ``base[i]`` that of the arc behind the failure arc."""
-
-    def __init__(self, arc: np.ndarray, base: np.ndarray):
-        self.arc, self.base = arc, base
+    """The part of the automaton that a block's texts visit, laid out by token: the log10 weights of the arcs
+    that lead on from the states of two, one and no words before it (NO_ARC where there is none), of these
+    states' failure arcs, and the size of the longest context that the token ends."""
+
+    NO_ARC = 1.0
+
+    def __init__(self, c: dict[int, np.ndarray], starts: np.ndarray, texts: int, base: np.ndarray):
+        """``c``: by order the training counts of the n-grams that end in each token; ``starts``: the first
+        tokens; ``texts``: how many texts were counted; ``base``: the unigram probabilities."""
+        first = np.zeros(len(base), bool)
+        first[starts] = True
+        before = {2: np.r_[0, c[1][:-1]], 3: np.r_[0, c[2][:-1]]}
+        before[2][first], before[3][first] = texts, 0
+        self.arc, self.back, p = {1: np.log10(base)}, {}, base
+        for size in (2, 3):
+            mu = MU[size]
+            p = (c[size] + mu * p) / (before[size] + mu)
+            self.arc[size] = np.where(c[size] > 0, np.log10(p), self.NO_ARC)
+            self.back[size] = np.log10(mu / (before[size] + mu))
+        self.ends = np.where(c[2] > 0, 2, np.where(c[1] > 0, 1, 0))
+        self.start = 1 if texts else 0
 
     def read(self, lo: int, hi: int) -> float:
-        """log10 probability of the tokens from ``lo`` to ``hi``, carrying the bigram weight."""
-        a, total, product = START_WEIGHT, 0.0, 1.0
-        for arc, base in zip(self.arc[lo:hi].tolist(), self.base[lo:hi].tolist()):
-            p = a * arc + (1 - a) * base
-            product *= p
-            if product < 1e-200:
-                total += math.log10(product)
-                product = 1.0
-            a = (1 - SHARE) * (a * arc / p) + SHARE * START_WEIGHT
-        return total + math.log10(product)
+        """log10 probability of the tokens from ``lo`` to ``hi``, a whole text, carrying the state."""
+        total, state, none = 0.0, self.start, self.NO_ARC
+        of = (self.arc[3], self.back[3], self.arc[2], self.back[2], self.arc[1], self.ends)
+        for arc3, back3, arc2, back2, arc1, ends in zip(*(x[lo:hi].tolist() for x in of)):
+            if state == 2:
+                if arc3 != none:
+                    total += arc3
+                    state = ends
+                    continue
+                total += back3
+                state = 1
+            if state == 1:
+                if arc2 != none:
+                    total += arc2
+                    state = ends
+                    continue
+                total += back2
+            total += arc1
+            state = ends
+        return total
 
 
 def lm_scores(docs: DataFrame, trains, id_col="doc_id", text_col="text") -> DataFrame:
@@ -167,42 +216,40 @@ def lm_scores(docs: DataFrame, trains, id_col="doc_id", text_col="text") -> Data
     spark = prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     d, blocks, tokens = with_blocks(docs, trains, id_col, text_col)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_GRAMS))
-    width = min(8, max(4, -(-(math.ceil(math.log2(tokens + 2)) + 13) // 8)))
-    back = saved(returned_grams(sent_grams(d, blocks, parts, width), parts, width), "grams")
-    shares = back.filter("block = -1").select("keys").collect()
-    big_n, big_v = (int(x) for x in np.sum([np.frombuffer(r[0], "<i8") for r in shares] or [[0, 0]], axis=0))
-    unit = big_n + 0.5 * (big_v + 1)
+    parts = 1 << (max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // PART_GRAMS)) - 1).bit_length()
+    back = saved(returned_grams(sent_grams(d, blocks, parts), parts), "grams")
+    shares = [unpack_counts(r.n) for r in back.filter("block = -1").select("n").collect()]
+    big_n, big_v = (int(x) for x in np.sum(shares or [[0, 0]], axis=0))
+    unit, low = big_n + 0.5 * (big_v + 1), edges(parts)
+    n_texts = d.filter("t").count()
 
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, replies = texts["doc_id"].combine_chunks(), replies.to_pandas()
+        ids = texts["doc_id"].combine_chunks()
         if not texts.num_rows:
             return pa.Table.from_arrays([ids, *(pa.array([], x) for x in [pa.int64()] * 3 + [pa.float64()] * 2)], names=names)
-        words, bigrams, at = sequences(texts_of(texts["text"]))
-        t = np.repeat(np.array(texts["t"].to_pylist(), bool), np.diff(at))
-        found = {}
-        for k, keys, w in ((1, words, 8), (2, bigrams & U64((1 << 8 * width) - 1), width)):
-            unique, own, where = counts(keys, t)
-            found[k] = lookup(unique, own, replies[replies["kind"] == k], w)[where]
-        c = found[1].astype(float)
-        base = (c + 0.5) / unit
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        # every training text begins once: the start is met as often as the end
-        ends = c[at[1:] - 1]
-        before[at[:-1]] = ends
-        automaton = Automaton(np.where(before > 0, found[2] / np.maximum(before, 1), 0.0).clip(0, 1), base)
-        sums = np.add.reduceat(np.log10(base), at[:-1])
-        known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
+        grams, at = sequences(texts_of(texts["text"]))
+        got: dict = {size: {} for size in ORDERS}
+        for part, size, n in zip(*(replies[x].to_pylist() for x in ("part", "size", "n"))):
+            got[size][part] = n
+        c = {}
+        for size in ORDERS:
+            unique, where = np.unique(grams.pop(size), return_inverse=True)
+            c[size] = totals(unique, got.pop(size), low)[where].astype(float)
+        c[3][at[:-1]] = 0
+        base = (c[1] + 0.5) / unit
+        automaton = Automaton(c, at[:-1], n_texts, base)
+        sums = np.add.reduceat(automaton.arc[1], at[:-1])
+        known = np.add.reduceat((c[1] > 0).astype(np.int64), at[:-1])
+        c = unique = where = None
         give_back()
         score = np.array([automaton.read(a, b) for a, b in zip(at[:-1], at[1:])])
         return pa.Table.from_arrays([ids, *map(pa.array, (np.diff(at), known, np.full(len(known), big_n, np.int64), sums, score))], names=names)
 
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     mine = back.filter("block >= 0").groupBy("block")
-    return d.select("block", "doc_id", "text", "t").groupBy("block").cogroup(mine).applyInArrow(run, schema)
+    return d.select("block", "doc_id", "text").groupBy("block").cogroup(mine).applyInArrow(run, schema)
 
 
 def op10_lm_score(spark, sf_dir):
