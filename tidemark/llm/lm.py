@@ -14,9 +14,10 @@ fixed for each state, and the probabilities of all next tokens sum to one from e
 
 Counts cover all training rows. Documents are dealt into blocks. A block sends the distinct n-grams of its
 texts, as sorted 64-bit hashes, with their counts in its own training rows, to parts by range of the hash; a
-part adds up what all blocks sent and returns to each block, in the order it sent them, the totals. So each
-block gets the part of the automaton its texts can visit, and no table of all n-grams exists in one place.
-A frequent word is one entry a block, however often it occurs.
+part adds up what all blocks sent and returns to each block, in the order it sent them, the totals. Words
+and pairs go first; then, of the triples, those whose two pairs were both met in other blocks too, as no
+other triple can have been. So each block gets the part of the automaton its texts can visit, and no table of
+all n-grams exists in one place. A frequent word is one entry a block, however often it occurs.
 
 Cases: null and empty texts have one token, the end. Very long texts are read whole. Repeated rows train
 and score as often as they occur; rows without an id are dealt by their place in the input, others by id and
@@ -40,7 +41,6 @@ PART_GRAMS = 3_000_000
 #: Tokens that the shorter context is worth, by order. Chosen on held-out rows of tables of 1,000 to 40,000
 #: documents: the best of 1000, 3000 and 10000 for pairs, and near the best of 30, 100 and 300 for triples.
 MU = {2: 10_000.0, 3: 50.0}
-ORDERS = (1, 2, 3)
 END = U64(0x2545F4914F6CDD1D)
 START = U64(0x9E6C63D0876A9A47)
 
@@ -113,29 +113,71 @@ def with_blocks(docs: DataFrame, trains, id_col: str, text_col: str) -> tuple[Da
     return d.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")), blocks, int(size) // 5 + n
 
 
-def sent_grams(d: DataFrame, blocks: int, parts: int) -> DataFrame:
-    """(part, block, size, keys, n): the n-grams of order ``size`` and their counts in training."""
+def messages(block: int, size: int, unique: np.ndarray, n: np.ndarray, low: np.ndarray) -> list[tuple]:
+    """Rows MESSAGE of a block's distinct n-grams of one order, by part."""
+    cut = [*np.searchsorted(unique, low).tolist(), len(unique)]
+    return [(p, block, size, pack_keys(unique[a:b]), pack_counts(n[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+
+
+MESSAGE = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+MESSAGE_SQL = "part int, block int, size int, keys binary, n binary"
+
+
+def read_block(texts: pa.Table):
+    """(n-gram hashes by order, offsets, whether each token is a training one)."""
+    grams, at = sequences(texts_of(texts["text"]))
+    return grams, at, np.repeat(np.array(texts["t"].to_pylist(), bool), np.diff(at))
+
+
+def as_messages(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, MESSAGE)], schema=MESSAGE)
+
+
+def sent_pairs(d: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """(part, block, size, keys, n): the words and pairs of each block and their counts in training."""
     low = edges(parts)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, at = sequences(pdf["text"])
-        t = np.repeat(pdf["t"].to_numpy(bool), np.diff(at))
-        rows = []
-        for size in ORDERS:
-            keys = grams.pop(size)
-            unique, n, _ = counts(keys, t)
-            cut = [*np.searchsorted(unique, low).tolist(), len(unique)]
-            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                if b > a:
-                    rows.append((p, pdf["block"].iloc[0], size, pack_keys(unique[a:b]), pack_counts(n[a:b])))
+    def run(texts: pa.Table) -> pa.Table:
+        grams, _, t = read_block(texts)
+        block, rows = texts["block"][0].as_py(), []
+        for size in (1, 2):
+            unique, n, _ = counts(grams.pop(size), t)
+            rows += messages(block, size, unique, n, low)
+        out = as_messages(rows)
+        grams = rows = unique = n = None
         give_back()
-        return pd.DataFrame(rows, columns=["part", "block", "size", "keys", "n"])
+        return out
 
-    return d.select("block", "text", "t").repartitionById(blocks, "block").groupBy("block").applyInPandas(run, "part int, block int, size int, keys binary, n binary")
+    return d.select("block", "text", "t").repartitionById(blocks, "block").groupBy("block").applyInArrow(run, MESSAGE_SQL)
+
+
+def sent_triples(d: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """As ``sent_pairs``, the triples that other blocks may hold too; ``pairs`` are the replies so far."""
+    low = edges(parts)
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return as_messages([])
+        grams, at, t = read_block(texts)
+        _, elsewhere = known(grams.pop(2), t, by_part(replies)[2], low)
+        _, unique, n, _ = open_triples(grams.pop(3), at, t, elsewhere)
+        out = as_messages(messages(texts["block"][0].as_py(), 3, unique, n, low))
+        grams = unique = n = elsewhere = None
+        give_back()
+        return out
+
+    return d.select("block", "text", "t").groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(run, MESSAGE_SQL)
+
+
+def open_triples(three: np.ndarray, at: np.ndarray, t: np.ndarray, elsewhere: np.ndarray):
+    """Which tokens end a triple whose pairs both are met elsewhere, and these triples, as ``counts``."""
+    may = elsewhere & shifted(elsewhere, at, False)
+    return may, *counts(three[may], t[may])
 
 
 def returned_grams(sent: DataFrame, parts: int) -> DataFrame:
-    """(block, part, size, n): the totals of what a block sent, in its order; block -1: N and V."""
+    """(block, part, size, n): of what a block sent, in its order, twice the total, and one more where other
+    blocks hold it too; block -1: N and V."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, part = [], int(pdf["part"].iloc[0])
@@ -145,9 +187,9 @@ def returned_grams(sent: DataFrame, parts: int) -> DataFrame:
             total = np.bincount(where, weights=np.concatenate([unpack_counts(x) for x in some["n"]]), minlength=len(unique)).astype(np.int64)
             if size == 1:
                 rows.append((-1, part, 1, pack_counts(np.array([total.sum(), (total > 0).sum()]))))
-            start = 0
+            reply, start = 2 * total + (np.bincount(where, minlength=len(unique)) > 1), 0
             for block, k in zip(some["block"], keys):
-                rows.append((block, part, size, pack_counts(total[where[start : start + len(k)]])))
+                rows.append((block, part, size, pack_counts(reply[where[start : start + len(k)]])))
                 start += len(k)
         give_back()
         return pd.DataFrame(rows, columns=["block", "part", "size", "n"])
@@ -155,14 +197,30 @@ def returned_grams(sent: DataFrame, parts: int) -> DataFrame:
     return sent.repartitionById(parts, "part").groupBy("part").applyInPandas(run, "block int, part int, size int, n binary")
 
 
-def totals(unique: np.ndarray, replies: dict[int, bytes], low: np.ndarray) -> np.ndarray:
-    """The training counts of a block's distinct n-grams, from its replies by part."""
+def by_part(replies: pa.Table) -> dict[int, dict[int, bytes]]:
+    """The replies of a block, by order and part."""
+    got: dict = {1: {}, 2: {}, 3: {}}
+    for part, size, n in zip(*(replies[x].to_pylist() for x in ("part", "size", "n"))):
+        got[size][part] = n
+    return got
+
+
+def totals(unique: np.ndarray, replies: dict[int, bytes], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The training counts of a block's distinct n-grams, and whether other blocks hold them too, from its
+    replies by part."""
     cut = [*np.searchsorted(unique, low).tolist(), len(unique)]
     got = [unpack_counts(replies[p]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
     out = np.concatenate(got) if got else np.empty(0, np.int64)
     if len(out) != len(unique):
         raise ValueError("the documents of a block differ from those that were counted")
-    return out
+    return out >> 1, out & 1 == 1
+
+
+def known(keys: np.ndarray, t: np.ndarray, replies: dict[int, bytes], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By token, the training count of its n-gram, and whether other blocks hold it too."""
+    unique, _, where = counts(keys, t)
+    total, elsewhere = totals(unique, replies, low)
+    return total[where], elsewhere[where]
 
 
 class Automaton:
@@ -217,8 +275,9 @@ def lm_scores(docs: DataFrame, trains, id_col="doc_id", text_col="text") -> Data
     kind = docs.schema[id_col].dataType.simpleString()
     d, blocks, tokens = with_blocks(docs, trains, id_col, text_col)
     parts = 1 << (max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // PART_GRAMS)) - 1).bit_length()
-    back = saved(returned_grams(sent_grams(d, blocks, parts), parts), "grams")
-    shares = [unpack_counts(r.n) for r in back.filter("block = -1").select("n").collect()]
+    pairs = saved(returned_grams(sent_pairs(d, blocks, parts), parts), "pairs")
+    triples = saved(returned_grams(sent_triples(d, pairs.filter("block >= 0 AND size = 2"), parts), parts), "triples")
+    shares = [unpack_counts(r.n) for r in pairs.filter("block = -1").select("n").collect()]
     big_n, big_v = (int(x) for x in np.sum(shares or [[0, 0]], axis=0))
     unit, low = big_n + 0.5 * (big_v + 1), edges(parts)
     n_texts = d.filter("t").count()
@@ -229,27 +288,29 @@ def lm_scores(docs: DataFrame, trains, id_col="doc_id", text_col="text") -> Data
         ids = texts["doc_id"].combine_chunks()
         if not texts.num_rows:
             return pa.Table.from_arrays([ids, *(pa.array([], x) for x in [pa.int64()] * 3 + [pa.float64()] * 2)], names=names)
-        grams, at = sequences(texts_of(texts["text"]))
-        got: dict = {size: {} for size in ORDERS}
-        for part, size, n in zip(*(replies[x].to_pylist() for x in ("part", "size", "n"))):
-            got[size][part] = n
-        c = {}
-        for size in ORDERS:
-            unique, where = np.unique(grams.pop(size), return_inverse=True)
-            c[size] = totals(unique, got.pop(size), low)[where].astype(float)
+        grams, at, t = read_block(texts)
+        got, c = by_part(replies), {}
+        c[1], _ = known(grams.pop(1), t, got[1], low)
+        c[2], elsewhere = known(grams.pop(2), t, got[2], low)
+        three = grams.pop(3)
+        _, own, where = counts(three, t)
+        c[3] = own[where]
+        may, unique, _, where = open_triples(three, at, t, elsewhere)
+        c[3][may] = totals(unique, got[3], low)[0][where]
         c[3][at[:-1]] = 0
+        three = own = where = may = unique = elsewhere = got = None
         base = (c[1] + 0.5) / unit
         automaton = Automaton(c, at[:-1], n_texts, base)
         sums = np.add.reduceat(automaton.arc[1], at[:-1])
-        known = np.add.reduceat((c[1] > 0).astype(np.int64), at[:-1])
-        c = unique = where = None
+        n_known = np.add.reduceat((c[1] > 0).astype(np.int64), at[:-1])
+        c = base = None
         give_back()
         score = np.array([automaton.read(a, b) for a, b in zip(at[:-1], at[1:])])
-        return pa.Table.from_arrays([ids, *map(pa.array, (np.diff(at), known, np.full(len(known), big_n, np.int64), sums, score))], names=names)
+        return pa.Table.from_arrays([ids, *map(pa.array, (np.diff(at), n_known, np.full(len(n_known), big_n, np.int64), sums, score))], names=names)
 
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    mine = back.filter("block >= 0").groupBy("block")
-    return d.select("block", "doc_id", "text").groupBy("block").cogroup(mine).applyInArrow(run, schema)
+    mine = pairs.filter("block >= 0").unionByName(triples).groupBy("block")
+    return d.select("block", "doc_id", "text", "t").groupBy("block").cogroup(mine).applyInArrow(run, schema)
 
 
 def op10_lm_score(spark, sf_dir):
