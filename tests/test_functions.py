@@ -136,3 +136,19 @@ def test_unknown_status_fails_or_is_left_out(spark):
     assert [r.job_id for r in jobs.decoded(d, strict=False).collect()] == ["a"]
     with pytest.raises(Exception, match="unknown status"):
         jobs.decoded(d).collect()
+
+
+def test_human_bytes_ties_go_to_even(spark):
+    given = (2560, 3584, 1_310_720, 1_363_149, 1024**3 * 5 // 4 + (1 << 30) // 8, 1023 * 1024 + 600, 7 * 1024**5)
+    assert [one(spark, E.human_bytes(L(n))) for n in given] == ["2 KB", "4 KB", "1.2 MB", "1.3 MB", "1.38 GB", "1024 KB", "7340032.00 GB"]
+
+
+def test_rules_of_single_values(spark):
+    for text, yes in (("127.0.0.1:80", True), ("127.8.0.1:80", True), ("[::1]:80", True), ("localhost:9", True), ("localhost", True), ("0.0.0.0:80", False), ("10.0.0.1:80", False)):
+        assert one(spark, E.is_loopback(F.lit(text))) == yes, text
+    assert one(spark, E.rfc3339(F.lit(None).cast("string"))) is None and one(spark, E.rfc3339(F.lit("2024-01-02T03:04:05Z"))).minute == 4
+    for bad in ("2024-01-02", "x", "2024-13-02T03:04:05Z"):
+        with pytest.raises(Exception, match="invalid time"):
+            one(spark, E.rfc3339(F.lit(bad)))
+    assert one(spark, E.tuning(F.lit("Unknown"))) == one(spark, E.tuning(F.lit("Poor")))
+    assert one(spark, E.kept_progress(L(5), L(0), L(42))) == 42 and one(spark, E.kept_progress(L(9), L(3), L(0))) == 100

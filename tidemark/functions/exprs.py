@@ -241,14 +241,26 @@ def compression_level(kind: str, name, custom=None) -> Column:
 # --- numbers as text and as classes
 
 
+def scaled_text(n, bits: int, digits: int) -> Column:
+    """``n / 2**bits`` with so many decimals, ties to the even digit, in whole numbers throughout."""
+    unit, scale = 1 << bits, 10**digits
+    part = n.bitwiseAND(F.lit(unit - 1).cast("long")) * F.lit(scale)
+    down = F.shiftright(n, bits) * F.lit(scale) + F.shiftright(part, bits)
+    left = part.bitwiseAND(F.lit(unit - 1).cast("long")) * 2
+    up = (left > unit) | ((left == unit) & (down % 2 == 1))
+    value = down + up.cast("long")
+    if not digits:
+        return value.cast("string")
+    return F.concat(F.floor(value / F.lit(scale)).cast("long").cast("string"), F.lit("."), F.lpad((value % scale).cast("string"), digits, "0"))
+
+
 def human_bytes(n) -> Column:
     """B, KB without, MB with one, GB with two decimals, of 1024 each."""
-    n = col(n)
-    unit = lambda k: n.cast("double") / F.lit(float(1024**k))
+    n = col(n).cast("long")
     return (
-        F.when(n >= 1024**3, F.format_string("%.2f GB", unit(3)))
-        .when(n >= 1024**2, F.format_string("%.1f MB", unit(2)))
-        .when(n >= 1024, F.format_string("%.0f KB", unit(1)))
+        F.when(n >= 1024**3, F.concat(scaled_text(n, 30, 2), F.lit(" GB")))
+        .when(n >= 1024**2, F.concat(scaled_text(n, 20, 1), F.lit(" MB")))
+        .when(n >= 1024, F.concat(scaled_text(n, 10, 0), F.lit(" KB")))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 
@@ -323,6 +335,36 @@ def operation_timeout(base_s, rtt_ms, factor) -> Column:
     return F.least(F.lit(300.0), F.greatest(F.lit(5.0), col(base_s) * F.greatest(col(rtt_ms) / 50.0, F.lit(1.0)) * col(factor)))
 
 
+#: Chunk size in MiB, streams and seconds of idleness by quality: this engine's own presets.
+PRESETS = {"Excellent": (8, 64, 300), "Good": (4, 32, 180), "Fair": (2, 16, 120), "Poor": (1, 4, 60)}
+
+
+def tuning(quality) -> Column:
+    """struct(chunk_mib, streams, idle_s); an unknown quality is tuned as a poor one."""
+    at = lambda v: F.struct(*(F.lit(x).alias(n) for x, n in zip(v, ("chunk_mib", "streams", "idle_s"))))
+    return chain([(col(quality) == q, at(v)) for q, v in PRESETS.items() if q != "Poor"], at(PRESETS["Poor"]))
+
+
+def kept_progress(current, total, before) -> Column:
+    """Whole percent of at most 100; without a total the value before stays."""
+    current, total = col(current), col(total)
+    return F.when(total > 0, F.least(F.floor(current.cast("double") / total.cast("double") * 100.0), F.lit(100)).cast("int")).otherwise(col(before))
+
+
+def is_loopback(bind) -> Column:
+    """The address, with or without a port, is this machine's own."""
+    b = col(bind)
+    return b.rlike(r"^127(\.\d{1,3}){3}:\d+$") | b.rlike(r"^\[::1\]:\d+$") | F.regexp_replace(F.split_part(b, F.lit(":"), F.lit(1)), r"^\[+|\]+$", "").isin("127.0.0.1", "localhost")
+
+
+def rfc3339(text) -> Column:
+    """The time of an RFC 3339 text; null stays null, any other text fails the query."""
+    t = col(text)
+    ok = t.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$")
+    at = F.try_to_timestamp(F.upper(t))
+    return F.when(t.isNull(), None).when(ok & at.isNotNull(), at).otherwise(F.raise_error(F.concat(F.lit("invalid time: "), t)).cast("timestamp"))
+
+
 def size_priority(size) -> Column:
     mib = 1024 * 1024
     return chain([(col(size) <= mib, "High"), (col(size) <= 10 * mib, "Normal"), (col(size) <= 100 * mib, "Low")], "Background")

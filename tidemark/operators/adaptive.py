@@ -1,6 +1,7 @@
 """Bandwidth and concurrency: folds over bounded, ordered arrays."""
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -10,15 +11,43 @@ ALPHA = 0.3
 MIN_STREAMS, MAX_STREAMS = 4, 64
 
 
-def last_samples(samples: DataFrame, most: int = SAMPLES) -> DataFrame:
-    """The newest samples of each region; ranked with a limit before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("ts"), F.desc("seq")))
-    return samples.filter("duration_ms >= 1").withColumn("rank", rank).filter(F.col("rank") <= most)
+MIN_GAP_MS = 100
+
+
+def last_samples(samples: DataFrame, most: int = SAMPLES, min_gap_ms: int = MIN_GAP_MS) -> DataFrame:
+    """(region, rank, mbps) of the newest samples of each region, rank 1 the newest. A sample counts if it took a
+    millisecond and comes ``min_gap_ms`` or more after the last one that counted (E2). Which ones count depends
+    on all before them, so that a region's rows are read in order as a stream; ``most`` of them are held."""
+
+    def run(batches):
+        region, kept, last, any_row = None, [], None, False
+
+        def close():
+            return pd.DataFrame({"region": region, "rank": range(len(kept), 0, -1), "mbps": kept})
+
+        for b in batches:
+            out = []
+            for r, us, size, ms in zip(b["region"], b["us"], b["bytes"], b["duration_ms"]):
+                if any_row and r != region:
+                    out.append(close())
+                if not any_row or r != region:
+                    region, kept, last, any_row = r, [], None, True
+                if ms >= 1 and (last is None or us - last >= 1000 * min_gap_ms):
+                    kept, last = [*kept[-most + 1 :], size * 8.0 / (ms / 1000.0) / 1e6], us
+            if out:
+                yield pd.concat(out)
+        if any_row:
+            yield close()
+
+    kind = samples.schema["region"].dataType.simpleString()
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    rows = samples.filter("bytes IS NOT NULL AND duration_ms IS NOT NULL").select("region", us, "seq", "bytes", "duration_ms")
+    return rows.repartition("region").sortWithinPartitions("region", "us", "seq").mapInPandas(run, f"region {kind}, rank int, mbps double")
 
 
 def ewma_bandwidth(samples: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(region, mbps, quality, streams): exponentially weighted over at most 20 samples."""
-    s = last_samples(samples).withColumn("mbps", E.megabits("bytes", F.col("duration_ms") / 1000.0))
+    s = last_samples(samples)
     a = s.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("rank"), "mbps"))), lambda x: x.mbps).alias("xs"))
     fold = F.aggregate(F.slice("xs", 2, SAMPLES), F.col("xs")[0], lambda acc, x: F.lit(alpha) * x + F.lit(1 - alpha) * acc)
     a = a.select("region", fold.alias("mbps")).withColumn("quality", E.network_quality("mbps"))
@@ -67,3 +96,18 @@ def representative_failure(errors: DataFrame, group: str, order: str) -> DataFra
     g = e.groupBy(group).agg(F.count(F.lit(1)).alias("n"), top)
     text = F.concat(F.when(F.col("top.category") == "Fatal", F.lit("[fatal] ")).otherwise(F.lit("")), F.col("n").cast("string"), F.lit(" files failed: "), F.col("top.message"))
     return g.select(group, "n", "top.category", text.alias("message"))
+
+
+def throughput_concurrency(windows: DataFrame, start: int = 16, increase: int = 2, decrease: float = 0.5, error_rate: float = 0.05, least: int = MIN_STREAMS, most: int = MAX_STREAMS) -> DataFrame:
+    """(region, streams) after all sample windows (region, window, total, failed, throughput), which are few a
+    region: fewer on errors, more while the throughput grows (D24). A window without requests changes nothing."""
+    r = windows.filter("total > 0").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("window", "total", "failed", "throughput"))).alias("ws"))
+    first = F.struct(F.lit(start).alias("n"), F.lit(0).cast("long").alias("last"))
+
+    def step(acc, w):
+        down = F.greatest(F.floor(acc.n * decrease).cast("int"), F.lit(least))
+        up = F.least(acc.n + increase, F.lit(most))
+        grew = (w.throughput > acc["last"]) | (acc["last"] == 0)
+        return F.struct(F.when(w.failed / w.total > error_rate, down).when(grew, up).otherwise(acc.n).alias("n"), w.throughput.cast("long").alias("last"))
+
+    return r.select("region", F.aggregate("ws", first, step)["n"].alias("streams"))

@@ -1,7 +1,6 @@
 """Change detection: what differs between a listing, what was synchronised before, and the destination."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -79,18 +78,22 @@ def directories_first(paths: DataFrame) -> DataFrame:
     return paths.orderBy(F.size(F.split("path", "/")), "path")
 
 
-def cache_cleanup(cache: DataFrame, now: Column, ttl_seconds: int, most: int) -> DataFrame:
+def cache_cleanup(cache: DataFrame, now: Column, ttl_seconds: int, most: int = 100_000) -> DataFrame:
     """Entries younger than the limit, the newest ``most`` of all jobs (E3): a top-k, not a global sort."""
     young = cache.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) <= ttl_seconds * 1_000_000)
     return young.orderBy(F.desc("updated_at"), "job_id", "file_path").limit(most)
 
 
-def trimmed(cache: DataFrame, above: int, down_to: int, by: list) -> DataFrame:
-    """All rows up to ``above``; beyond it the first ``down_to`` in the order given."""
-    n = cache.agg(F.count(F.lit(1)).alias("_all"))
-    r = cache.crossJoin(F.broadcast(n))
-    rank = F.row_number().over(Window.orderBy(*by))
-    return r.filter(F.col("_all") <= above).drop("_all").unionByName(r.filter(F.col("_all") > above).withColumn("_r", rank).filter(F.col("_r") <= down_to).drop("_all", "_r"))
+def trimmed(cache: DataFrame, above: int = 60_000, down_to: int = 54_000, by: list = ("path",)) -> DataFrame:
+    """All rows up to ``above``; beyond it the first ``down_to`` in the order given, as a top-k."""
+    n = F.broadcast(cache.agg(F.count(F.lit(1)).alias("_all")))
+    r = cache.crossJoin(n)
+    return r.filter(F.col("_all") <= above).unionByName(r.filter(F.col("_all") > above).orderBy(*by).limit(down_to)).drop("_all")
+
+
+def retained(state: DataFrame, listed: DataFrame) -> DataFrame:
+    """State of the paths that are still listed."""
+    return state.join(listed.select("path").distinct(), "path", "left_semi")
 
 
 def completed_versions(states: DataFrame) -> DataFrame:

@@ -62,10 +62,23 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def byte_bounded(cache: DataFrame, cap: int) -> DataFrame:
-    """The most recently used entries whose sizes fit together (E5)."""
-    total = F.sum("size").over(Window.orderBy(F.desc("last_access"), "path"))
-    return cache.withColumn("_t", total).filter(F.col("_t") <= cap).drop("_t")
+def byte_bounded(cache: DataFrame, cap: int = 100 * 1024 * 1024, steps: int = 10_000) -> DataFrame:
+    """The most recently used entries whose sizes fit together (E5). Accesses (a number) fall into at most
+    ``steps`` spans of time; running sums go over the spans' totals, and inside those spans that begin
+    below the cap, so that no task sees all entries."""
+    ends = F.broadcast(cache.agg(F.min("last_access").alias("_lo"), F.max("last_access").alias("_hi")))
+    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo")) / F.lit(steps)), F.lit(1))
+    d = cache.crossJoin(ends).withColumn("_s", F.floor((F.col("_hi") - F.col("last_access")) / width)).drop("_lo", "_hi")
+    before = F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = d.groupBy("_s").agg(F.sum("size").alias("_t")).withColumn("_b", before).filter(F.col("_b") <= cap).select("_s", "_b")
+    total = F.col("_b") + F.sum("size").over(Window.partitionBy("_s").orderBy(F.desc("last_access"), "path"))
+    return d.join(F.broadcast(spans), "_s").withColumn("_t", total).filter(F.col("_t") <= cap).select(cache.columns)
+
+
+def cache_stats(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: files whose cached chunks still hold, files to cut anew, entries of the cache."""
+    hits = valid_cache(files, cache).agg(F.count_if(F.col("chunks").isNotNull()).alias("hits"), F.count_if(F.col("chunks").isNull()).alias("misses"))
+    return hits.crossJoin(F.broadcast(cache.agg(F.count(F.lit(1)).alias("entries"))))
 
 
 def newly_completed(chunks: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

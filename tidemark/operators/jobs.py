@@ -3,6 +3,8 @@
 Every function maps DataFrames to a DataFrame and is lazy; ``now`` is always an argument.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,46 @@ def page(jobs: DataFrame, number: int, limit: int, public: bool = False) -> Data
     return listed(rows).offset(number * limit).limit(limit)
 
 
+def lenient_page(jobs: DataFrame, number: int, limit: int, public: bool = False) -> DataFrame:
+    """A page from which rows that can't be decoded are left out afterwards, so that it may be short."""
+    return decoded(page(jobs, number, limit, public), strict=False)
+
+
+def persisted_window(start, size, runtime_only) -> Column:
+    """struct(offset, limit) of stored rows that surely cover a merged page (F8)."""
+    start, size, extra = E.col(start), E.col(size), E.col(runtime_only)
+    some = F.struct(F.greatest(start - extra, F.lit(0)).cast("long").alias("offset"), (size + 2 * extra).cast("long").alias("limit"))
+    return F.when(extra == 0, F.struct(start.cast("long").alias("offset"), size.cast("long").alias("limit"))).otherwise(some)
+
+
+def by_key(rows: DataFrame, **key) -> DataFrame:
+    """The rows of one key of one or more columns."""
+    return rows.filter(reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in key.items()]))
+
+
+def checked_states(states: DataFrame) -> DataFrame:
+    """Transfer states; a negative size or inode fails the query."""
+    bad = F.coalesce((F.col("source_size") < 0) | (F.col("source_inode") < 0), F.lit(False))
+    return states.withColumn("source_size", F.when(bad, F.raise_error(F.lit("negative size or inode")).cast("long")).otherwise(F.col("source_size")))
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """By the time of the last change, newest first."""
+    return rows.orderBy(F.desc("updated_at"))
+
+
+def skipped_enqueue(jobs: DataFrame, retries: DataFrame) -> DataFrame:
+    """(job_id, skip): paused and ended jobs are not queued, failed ones only with tries left."""
+    j = jobs.select("job_id", "status").join(retryable(retries).withColumn("left", F.lit(True)), "job_id", "left")
+    skip = F.when(F.col("status").isin("paused", "cancelled", "completed"), True).when(F.col("status") == "failed", F.col("left").isNull()).otherwise(False)
+    return j.select("job_id", skip.alias("skip"))
+
+
+def adjusted_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(status, n) with the deltas added; a count of zero has no row."""
+    return counts.select("status", "n").unionByName(deltas.select("status", F.col("delta").alias("n"))).groupBy("status").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
 def counts_by_status(jobs: DataFrame, public: bool = False) -> DataFrame:
     rows = jobs.filter(E.is_public("job_id")) if public else jobs
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

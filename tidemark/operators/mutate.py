@@ -68,3 +68,19 @@ def reserve(requests: DataFrame) -> DataFrame:
     owners = requests.groupBy("scope", "key").agg(first).select("scope", "key", "f.fingerprint", "f.job_id")
     touched = requests.groupBy("scope", "key", "fingerprint").agg(F.max("at").alias("updated_at"))
     return owners.join(touched, ["scope", "key", "fingerprint"])
+
+
+def affected(old: DataFrame, changes: DataFrame, keys: list[str], when: Column | None = None) -> DataFrame:
+    """(keys, affected) of each change: whether ``update`` finds a row for it."""
+    o = (old if when is None else old.filter(when)).select(*keys).distinct().withColumn("_o", F.lit(True))
+    return changes.select(*keys).join(o, keys, "left").select(*keys, F.col("_o").isNotNull().alias("affected"))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return table.filter(F.lit(False))
+
+
+def put(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """The chunk cache with new entries in place of those of equal path."""
+    return upsert(cache, entries, ["path"])

@@ -28,3 +28,10 @@ def recovered(stored: DataFrame) -> DataFrame:
 def trigger(job_type: str, last: bool, interval_ms: int) -> dict:
     """Arguments of ``DataStreamWriter.trigger`` for a job's stream (K4, K9)."""
     return {"availableNow": True} if job_type in ("once", "full") or last else {"processingTime": f"{interval_ms} milliseconds"}
+
+
+def restored(jobs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Jobs with the round they were in when it was last written down (K6)."""
+    m = marks.groupBy("job_id").agg(F.max_by(F.struct("round_id", "is_last_round"), "seq").alias("m"))
+    j = jobs.drop("round_id", "is_last_round").join(m, "job_id", "left")
+    return j.select("job_id", F.coalesce("m.round_id", F.lit(0).cast("long")).alias("round_id"), F.coalesce("m.is_last_round", F.lit(False)).alias("is_last_round"))

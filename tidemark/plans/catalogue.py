@@ -4,6 +4,7 @@ Each entry of ``_QUERIES`` is (function of a table getter, SQL text or None). In
 the other bindings are expanded, and stand in parentheses.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -259,26 +260,42 @@ def chunk_offsets(t):
     return dedup.with_offsets(t("chunks")).select("doc_id", "idx", "offset")
 
 
-@query("SELECT doc_id, idx FROM ({chunks}) WHERE doc_id % 3 = 0 AND weak IN (SELECT weak FROM ({chunks}) WHERE doc_id % 3 <> 0)")
+#: Another version of all chunks: every fifth line of a file was rewritten since.
+OTHER = "SELECT doc_id, idx, length, CASE WHEN idx % 5 = 0 THEN {sha:strong} ELSE strong END AS strong, CASE WHEN idx % 5 = 0 THEN substring({sha:strong}, 1, 6) ELSE weak END AS weak FROM ({chunks}) o"
+
+
+def _other(t):
+    c, new = t("chunks"), F.sha2("strong", 256)
+    edited = F.col("idx") % 5 == 0
+    return c.withColumns({"strong": F.when(edited, new).otherwise(F.col("strong")), "weak": F.when(edited, F.substring(new, 1, 6)).otherwise(F.col("weak"))})
+
+
+def _located(c):
+    return c.withColumns({"path": F.col("doc_id").cast("string"), "pos": F.col("doc_id") * 1000000 + F.col("idx"), "offset": F.col("idx")})
+
+
+@query(f"SELECT doc_id, idx FROM ({{chunks}}) c WHERE weak IN (SELECT weak FROM ({OTHER}) l)")
 def weak_matches(t):
-    c = t("chunks")
-    return dedup.weak_matches(c.filter("doc_id % 3 = 0"), c.filter("doc_id % 3 <> 0")).select("doc_id", "idx")
+    return dedup.weak_matches(t("chunks"), _other(t)).select("doc_id", "idx")
 
 
-@query("""WITH l AS (SELECT weak, strong, min(doc_id * 1000000 + idx) AS at FROM ({chunks}) WHERE doc_id % 3 <> 0 GROUP BY weak, strong)
- SELECT doc_id, idx, l.at FROM ({chunks}) s JOIN l ON s.weak = l.weak AND s.strong = l.strong WHERE doc_id % 3 = 0""")
+@query(f"""WITH l AS (SELECT weak, strong, min(doc_id * 1000000 + idx) AS at FROM ({OTHER}) o GROUP BY weak, strong)
+ SELECT doc_id, idx, l.at FROM ({{chunks}}) s JOIN l ON s.weak = l.weak AND s.strong = l.strong""")
 def weak_strong_dedup(t):
-    c = t("chunks").withColumns({"path": F.col("doc_id").cast("string"), "pos": F.col("doc_id") * 1000000 + F.col("idx"), "offset": F.col("idx")})
-    return dedup.verified_matches(c.filter("doc_id % 3 = 0").select("doc_id", "idx", "weak", "strong"), c.filter("doc_id % 3 <> 0")).select("doc_id", "idx", F.col("at.pos").alias("at"))
+    return dedup.verified_matches(t("chunks").select("doc_id", "idx", "weak", "strong"), _located(_other(t))).select("doc_id", "idx", F.col("at.pos").alias("at"))
 
 
-@query("""WITH c AS (SELECT * FROM ({chunks})), s AS (SELECT * FROM c WHERE doc_id % 4 = 0), i AS (SELECT weak, strong, doc_id AS p, doc_id * 1000000 + idx AS pos FROM c WHERE doc_id % 10 <> 3)
- SELECT s.doc_id, s.idx, min(i.pos) AS at FROM s JOIN i ON s.weak = i.weak AND s.strong = i.strong AND i.p <> s.doc_id WHERE s.idx % 5 <> 0 GROUP BY s.doc_id, s.idx""")
+@query(f"""WITH s AS (SELECT * FROM ({{chunks}}) c), m AS (SELECT doc_id, idx FROM s WHERE weak NOT IN (SELECT weak FROM ({OTHER}) l)),
+ i AS (SELECT weak, strong, doc_id AS p, min(doc_id * 1000000 + idx) AS pos FROM s WHERE doc_id IN (SELECT id FROM ({{files}}) f WHERE path IN (SELECT path FROM ({{files_now}}) n)) GROUP BY ALL),
+ b AS (SELECT weak, strong, arg_min(p, pos) AS p1, min(pos) AS a1 FROM i GROUP BY ALL), o AS (SELECT i.weak, i.strong, min(pos) AS a2 FROM i JOIN b ON i.weak = b.weak AND i.strong = b.strong WHERE p <> p1 GROUP BY ALL)
+ SELECT s.doc_id, s.idx, CASE WHEN p1 <> s.doc_id THEN a1 ELSE a2 END AS at FROM s JOIN b ON s.weak = b.weak AND s.strong = b.strong LEFT JOIN o ON o.weak = b.weak AND o.strong = b.strong
+ WHERE (s.doc_id, s.idx) NOT IN (SELECT (doc_id, idx) FROM m) AND (p1 <> s.doc_id OR a2 IS NOT NULL)""")
 def global_dedup(t):
-    c = t("chunks").withColumns({"path": F.col("doc_id").cast("string"), "pos": F.col("doc_id") * 1000000 + F.col("idx"), "offset": F.col("idx")})
-    s = c.filter("doc_id % 4 = 0").select("path", "doc_id", "idx", "weak", "strong")
-    out = dedup.global_matches(s, c.select("weak", "strong", "path", "pos", "offset"), c.filter("doc_id % 10 <> 3").select("path"), s.filter("idx % 5 = 0"))
-    return out.select("doc_id", "idx", F.col("at.pos").alias("at"))
+    c = _located(t("chunks"))
+    s = c.select("path", "doc_id", "idx", "weak", "strong")
+    listing = t("files").join(t("files_now").select("path"), "path", "left_semi").select(F.col("id").cast("string").alias("path"))
+    matched = s.join(_other(t).select("weak").distinct(), "weak", "left_anti")
+    return dedup.global_matches(s, c.select("weak", "strong", "path", "pos", "offset"), listing, matched).select("doc_id", "idx", F.col("at.pos").alias("at"))
 
 
 OFFSETS = "SELECT *, cast(coalesce(sum(length) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM ({chunks}) q"
@@ -311,10 +328,10 @@ def plan_summary(t):
 
 
 @query("""WITH i AS (SELECT weak AS hash, doc_id // 2 AS path, idx // 2 AS "offset", max(doc_id * 1000000 + idx) AS seq FROM ({chunks}) GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY seq DESC, path, "offset") AS n FROM i) SELECT hash, path, "offset", seq FROM r WHERE n <= 5""")
+ r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY seq DESC, path, "offset") AS n FROM i) SELECT hash, path, "offset", seq FROM r WHERE n <= 100""")
 def hash_locations_capped(t):
     i = t("chunks").selectExpr("weak AS hash", "doc_id div 2 AS path", "idx div 2 AS offset", "doc_id * 1000000 + idx AS seq")
-    return dedup.capped_locations(i, 5)
+    return dedup.capped_locations(i)
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list(DISTINCT weak)), ',') AS weak, count(strong) AS n_strong FROM ({chunks}) GROUP BY doc_id")
@@ -353,15 +370,29 @@ def compression_decision(t):
     return t("files").select("path", E.compression_decision("path", "size").alias("d")).select("path", "d.*")
 
 
-@query("SELECT path, CASE WHEN size >= 1073741824 THEN 'x' WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.0f KB', (size - size % 1024) / 1024.0) ELSE size || ' B' END AS text FROM ({files})")
+def _tie(unit: int, scale: int) -> str:
+    """Whole-number division of n * scale by the unit, ties to even, as DuckDB SQL."""
+    return f"((n * {scale}) // {unit} + CASE WHEN (n * {scale}) % {unit} * 2 > {unit} OR ((n * {scale}) % {unit} * 2 = {unit} AND ((n * {scale}) // {unit}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+SIZES = "cast((size + id % 5 * 512) * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 512 WHEN 2 THEN 52428 + 4 * (id % 7) ELSE 5368709 + 3 * (id % 11) END AS {0})"
+
+
+@query(f"""SELECT id, CASE WHEN n >= 1073741824 THEN ({_tie(1 << 30, 100)} // 100) || '.' || lpad(({_tie(1 << 30, 100)} % 100)::VARCHAR, 2, '0') || ' GB' WHEN n >= 1048576 THEN ({_tie(1 << 20, 10)} // 10) || '.' || ({_tie(1 << 20, 10)} % 10) || ' MB'
+ WHEN n >= 1024 THEN {_tie(1 << 10, 1)} || ' KB' ELSE n || ' B' END AS text FROM (SELECT id, {SIZES.format('HUGEINT')} AS n FROM ({{files}}) f UNION ALL SELECT 10000000 + id, 1024 * id + 512 FROM ({{files}}) f UNION ALL SELECT 20000000 + id, 1048576 * id + 262144 FROM ({{files}}) f) x""")
 def human_bytes(t):
-    floor = F.when((F.col("size") >= 1024) & (F.col("size") < 1048576), F.col("size") - F.col("size") % 1024).otherwise(F.col("size"))
-    return t("files").select("path", E.human_bytes(floor).alias("text"))
+    f = t("files")
+    n = f.selectExpr("id", f"{SIZES.format('BIGINT')} AS n").unionByName(f.selectExpr("10000000 + id AS id", "1024 * id + 512 AS n")).unionByName(f.selectExpr("20000000 + id AS id", "1048576 * id + 262144 AS n"))
+    return n.select("id", E.human_bytes("n").alias("text"))
+
+
+MIMES = "CASE " + " ".join(f"WHEN ends_with(path, '{end}') THEN '{kind}'" for end, kind in E.MIME.items()) + " ELSE 'application/octet-stream' END"
+ENDINGS = "CASE id % 5 WHEN 0 THEN path ELSE concat(path, CASE id % 8 WHEN 0 THEN '.html' WHEN 1 THEN '.css' WHEN 2 THEN '.js' WHEN 3 THEN '.wasm' WHEN 4 THEN '.svg' WHEN 5 THEN '.png' WHEN 6 THEN '.HTML' ELSE '.json' END) END"
 
 
-@query("SELECT path, 'application/octet-stream' AS mime FROM ({files}) WHERE NOT ends_with(path, '.json') UNION ALL SELECT path, 'application/json' FROM ({files}) WHERE ends_with(path, '.json')")
+@query(f"SELECT path, {MIMES} AS mime FROM (SELECT {ENDINGS} AS path FROM ({{files}}) f) x")
 def mime_types(t):
-    return t("files").select("path", E.mime_type("path").alias("mime"))
+    return t("files").selectExpr(f"{ENDINGS} AS path").select("path", E.mime_type("path").alias("mime"))
 
 
 @query("SELECT job_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS text FROM (SELECT job_id, total_size % 9000 AS s FROM ({jobs}) j) x")
@@ -391,9 +422,14 @@ def representative_failure(t):
     return adaptive.representative_failure(t("errors"), "user_id", "event_id")
 
 
-@query("""WITH s AS (SELECT region, bytes * 8.0::DOUBLE / (duration_ms / 1000.0::DOUBLE) / 1e6 AS m, row_number() OVER (PARTITION BY region ORDER BY ts DESC, seq DESC) AS n FROM ({samples}) x WHERE duration_ms >= 1),
+EWMA = """WITH RECURSIVE q AS (SELECT region, epoch_us(ts) AS us, bytes * 8.0::DOUBLE / (duration_ms / 1000.0::DOUBLE) / 1e6 AS m, row_number() OVER (PARTITION BY region ORDER BY ts, seq) AS n FROM ({samples}) x WHERE duration_ms >= 1 AND bytes IS NOT NULL),
+ a AS (SELECT region, n, us AS last, true AS ok FROM q WHERE n = 1 UNION ALL SELECT q.region, q.n, CASE WHEN q.us - a.last >= 100000 THEN q.us ELSE a.last END, q.us - a.last >= 100000 FROM q JOIN a ON q.region = a.region AND q.n = a.n + 1),
+ s AS (SELECT q.region, q.m, row_number() OVER (PARTITION BY q.region ORDER BY q.n DESC) AS n FROM q JOIN a ON q.region = a.region AND q.n = a.n WHERE a.ok),
  f AS (SELECT region, list_reduce(list(m ORDER BY n DESC), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a) AS m FROM s WHERE n <= 20 GROUP BY region)
- SELECT region, round(m, 4) AS mbps, CASE WHEN m >= 800 THEN 'Excellent' WHEN m >= 200 THEN 'Good' WHEN m >= 50 THEN 'Fair' WHEN m > 0 THEN 'Poor' ELSE 'Unknown' END AS quality FROM f""")
+ SELECT region, round(m, 4) AS mbps, CASE WHEN m >= 800 THEN 'Excellent' WHEN m >= 200 THEN 'Good' WHEN m >= 50 THEN 'Fair' WHEN m > 0 THEN 'Poor' ELSE 'Unknown' END AS quality FROM f"""
+
+
+@query(EWMA)
 def ewma_bandwidth(t):
     return adaptive.ewma_bandwidth(t("samples")).select("region", F.round("mbps", 4).alias("mbps"), "quality")
 
@@ -424,14 +460,17 @@ def region_health(t):
     return adaptive.health(t("samples"))
 
 
-@query(f"SELECT job_id, file_path FROM ({{transfer_states}}) WHERE updated_at >= {NOW} - INTERVAL '200' DAY ORDER BY updated_at DESC, job_id, file_path LIMIT 1000")
+@query(f"SELECT job_id, file_path FROM ({{transfer_states}}) WHERE updated_at >= {NOW} - INTERVAL '200' DAY ORDER BY updated_at DESC, job_id, file_path LIMIT 100000")
 def cache_cleanup(t):
-    return changes.cache_cleanup(t("transfer_states"), now(), 200 * 86400, 1000).select("job_id", "file_path")
+    return changes.cache_cleanup(t("transfer_states"), now(), 200 * 86400).select("job_id", "file_path")
 
 
-@query(f"SELECT job_id, priority FROM ({{jobs}}) WHERE status IN {ACTIVE}")
+@query(f"SELECT job_id, priority, row_number() OVER (ORDER BY priority, created_at, job_id) AS place FROM ({{jobs}}) WHERE status IN {ACTIVE}")
 def queue_order(t):
-    return jobs.queue_order(t("jobs")).select("job_id", "priority")
+    order = Window.partitionBy("priority").orderBy("created_at", "job_id")
+    rows = jobs.queue_order(t("jobs")).withColumn("rank", F.row_number().over(order))
+    before = rows.groupBy("priority").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(before), "priority").select("job_id", "priority", (F.col("before") + F.col("rank")).alias("place"))
 
 
 @query("""WITH q AS (SELECT user_id AS job_id, event_id AS seq, ts AS run_at FROM {events}), l AS (SELECT job_id, max(seq) AS seq, arg_max(run_at, seq) AS run_at FROM q GROUP BY job_id)
@@ -502,9 +541,9 @@ def index_round(t):
     return index.outcome_counts(index.to_index(t("files_now"), running, t("files").select("path").limit(0), t("files"), 1_720_000_000_000_000_000))
 
 
-@query("SELECT path, size FROM (SELECT path, size, sum(size) OVER (ORDER BY modified DESC, path) AS s FROM ({files}) f) x WHERE s <= 100000")
+@query("SELECT path, size FROM (SELECT path, size, sum(size) OVER (ORDER BY modified DESC, path) AS s FROM ({files}) f) x WHERE s <= 104857600")
 def byte_bounded_cache(t):
-    return index.byte_bounded(t("files").withColumn("last_access", F.col("modified")), 100_000).select("path", "size")
+    return index.byte_bounded(t("files").withColumn("last_access", F.col("modified"))).select("path", "size")
 
 
 @query("SELECT job_id, sha256(p || '4:once2[3:a.*1:b]0[]') AS fingerprint FROM (SELECT job_id, length(source_path) || ':' || source_path || length(dest_path) || ':' || dest_path AS p FROM ({jobs}) j) x")
@@ -529,3 +568,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {name: duck(sql) for name, (_, sql) in _QUERIES.items() if sql}
+
+
+from . import more  # noqa: E402, F401  (registers its queries, which use the names above)

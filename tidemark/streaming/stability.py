@@ -32,8 +32,9 @@ def replay(scans: DataFrame, threshold: int = THRESHOLD_SECONDS) -> DataFrame:
 
 
 def stable_stream(scans: DataFrame, threshold: int = THRESHOLD_SECONDS) -> DataFrame:
-    """The same for a streaming DataFrame, keyed state per path (size, time, first seen); an idle path's
-    state expires by its timeout (K3)."""
+    """The same for a streaming DataFrame, keyed state per path (size, time, first seen). The state goes once
+    the file's time is more than ``threshold`` old, by the time of the scan that is read or by the clock
+    (K3): such a file is stable at once, whenever it is seen again."""
 
     def step(key, batches, state: GroupState):
         held = state.get if state.exists else None
@@ -44,6 +45,8 @@ def stable_stream(scans: DataFrame, threshold: int = THRESHOLD_SECONDS) -> DataF
         rows = pd.concat(list(batches)).sort_values(["scan_ts", "seq"])
         out = []
         for r in rows.itertuples():
+            if held is not None and r.scan_ts - held[1] > limit:
+                held = None
             if r.scan_ts - r.modified > limit:
                 out.append((key[0], r.seq, True))
                 continue
@@ -51,9 +54,12 @@ def stable_stream(scans: DataFrame, threshold: int = THRESHOLD_SECONDS) -> DataF
             if held is None or (held[0], held[1]) != stamp:
                 held = (*stamp, r.scan_ts.to_pydatetime())
             out.append((key[0], r.seq, r.scan_ts.to_pydatetime() - held[2] >= limit))
-        if held is not None:
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
             state.update(held)
-            state.setTimeoutDuration(24 * 3600 * 1000)
+            state.setTimeoutDuration(threshold * 1000 + 1)
         yield pd.DataFrame(out, columns=["path", "seq", "stable"])
 
     return scans.groupBy("path").applyInPandasWithState(
