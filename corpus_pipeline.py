@@ -48,9 +48,9 @@ def row_key(docs, id_col="doc_id"):
 def near_duplicate_stage(spark, docs, sf_dir):
     """Of each group of linked documents keep one row, the first by ``row_key``.
 
-    The keys that go are a table, the smaller side of an anti-join: while Spark finds it below its broadcast
-    threshold, no text is shuffled; beyond it the join deals both sides by key. Rows equal in all columns
-    have one key; of these, one is kept by an aggregation over such rows alone.
+    The keys that go grow with the input: they are a table, and a sort-merge join, the same at every size,
+    takes them out, which shuffles each text once. Rows equal in all columns have one key; of these, one is
+    kept by an aggregation over such rows alone.
     """
     key = "_row"
     while key in docs.columns:
@@ -62,7 +62,7 @@ def near_duplicate_stage(spark, docs, sf_dir):
     again = saved(again, "equal-rows", few=True)
     forget(found)
     by = lambda t: [F.col(key)["a"] == t["a"], F.col(key)["b"] == t["b"]]
-    out = keyed.join(gone, by(gone), "left_anti")
+    out = keyed.join(gone.hint("merge"), by(gone), "left_anti")
     if again.limit(1).count():
         copies = out.join(again, by(again), "left_semi").groupBy(F.col(key)["a"], F.col(key)["b"]).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
         return out.join(again, by(again), "left_anti").select(docs.columns).unionByName(copies)
