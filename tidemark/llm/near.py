@@ -379,7 +379,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(cls, root) of every end of an edge (a, b): the smallest name of its component.
 
     Alternates large-star and small-star steps until nothing changes; each is an aggregation with
-    map-side minimum and a join, so that a hub with many neighbours is not gathered anywhere.
+    map-side minimum and a join. A hub's edges are dealt by the hub there; Spark splits such a partition
+    once it is large (its skew join).
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     made, before = None, None
@@ -491,9 +492,27 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", bits: int
     roots = resolve(sets)
     for old in (sizes, by_list, small):
         forget(old)
-    named = own.select("doc_id", "n", "cls").join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("component"))
-    least_id = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    return named.join(least_id, "component", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
+    rows = own.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
+    rows = saved(rows.join(roots, "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root"), "class-rows")
+    groups = rows.groupBy("component").agg(F.min("least_id").alias("least_id"), F.sum("rows").alias("all_rows"), F.count(F.lit(1)).alias("members"))
+    groups = saved(groups.filter("all_rows > 1").drop("all_rows"), "groups")
+    by_class = saved(looked_up(rows.drop("least_id"), "component", groups, "members").filter("least_id IS NOT NULL").select("cls", "least_id", F.col("rows").alias("members")), "class-groups")
+    for old in (roots, rows, groups):
+        forget(old)
+    return looked_up(own.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "cls", by_class, "members", "doc_id").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
+
+
+def looked_up(d: DataFrame, key: str, values: DataFrame, size: str, spread: str = "cls") -> DataFrame:
+    """``d`` with the least_id of its key. Keys that many rows have are few, and looked up in a table of their
+    own, which Spark broadcasts while it is below its threshold; in the join of all others such rows, and
+    those without a key, are dealt by a hash of ``spread``."""
+    many = values.filter(F.col(size) > LONG).select(F.col(key).alias("_k"), F.col("least_id").alias("_many"))
+    others = values.filter(F.col(size) <= LONG).select(F.col(key).alias("_o"), F.col("least_id").alias("_other"))
+    d = d.join(many, F.col(key) == F.col("_k"), "left")
+    at = F.when(F.col(key).isNull() | F.col("_k").isNotNull(), F.xxhash64(spread)).otherwise(F.col(key))
+    d = d.withColumn("_at", at).join(others, F.col("_at") == F.col("_o"), "left")
+    own = F.when(F.col(key).isNull(), None).otherwise(F.coalesce("_many", F.when(F.col("_k").isNull(), F.col("_other"))))
+    return d.withColumn("least_id", own).drop("_k", "_o", "_many", "_other", "_at")
 
 
 def op4_jaccard_join(spark, sf_dir):
