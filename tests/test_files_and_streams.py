@@ -29,6 +29,29 @@ def names(d):
     return sorted(r.path for r in d.collect())
 
 
+def test_listing_of_the_root(spark, tree):
+    assert names(dirlist.listing(spark, tree, root=True)) == [".", ".git", "a", "broken", "link", "root.txt"]
+    assert names(dirlist.listing(spark, tree, root=True, include=["root"])) == ["root.txt"]
+    assert names(dirlist.listing(spark, tree, root=True, dirs=False)) == ["broken", "link", "root.txt"]
+    assert names(dirlist.listing(spark, tree, recursive=True, exclude=[str(tree)])) == []
+    assert dirlist.root_excluded(str(tree), [str(tree)]) and not dirlist.root_excluded(str(tree), ["^a$"])
+    parent = dirlist.listing(spark, tree)
+    assert [dirlist.confirms_single_file(f"{tree}/{n}", parent) for n in ("root.txt", "link", "a", "none")] == [True, True, False, False]
+
+
+def test_one_deep_tree_is_dealt_over_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dirlist, "SPLIT", 3)
+    for k in range(40):
+        (tmp_path / "top" / "in" / f"d{k:02}" / "e").mkdir(parents=True)
+        (tmp_path / "top" / "in" / f"d{k:02}" / "e" / "f").write_text("x")
+    reader = dirlist.Reader({"path": str(tmp_path), "recursive": "true"})
+    parts = reader.partitions()
+    assert len(parts) == 3 + 40
+    rows = [r[0] for p in parts for r in reader.read(p)]
+    assert len(rows) == len(set(rows)) == 2 + 3 * 40
+    assert names(dirlist.listing(spark, tmp_path, recursive=True)) == sorted(rows)
+
+
 def test_listing(spark, tree):
     assert names(dirlist.listing(spark, tree)) == [".git", "a", "broken", "link", "root.txt"]
     assert names(dirlist.listing(spark, tree, recursive=True)) == [".git", ".git/z", "a", "a/b", "a/b/x.txt", "a/y.log", "broken", "link", "root.txt"]

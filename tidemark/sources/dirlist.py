@@ -2,7 +2,8 @@
 
 Options: recursive, dirs (directories are rows), hidden (enter directories named with a leading dot),
 errors (fail or skip), strict (other kinds of files and undecodable names fail), exclude and include
-(JSON lists of patterns; an excluded directory is not entered).
+(JSON lists of patterns; an excluded directory is not entered, an excluded root gives no rows), root (a
+directory's own row, named ".", where there are no patterns).
 """
 
 import json
@@ -14,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Directories that the driver lists to deal the tree, and parts that it is dealt over at most.
+SPLIT, PARTS = 64, 1024
 SCHEMA = "path string, size long, is_dir boolean, modified long, change_time long, inode long, mode int, is_symlink boolean, symlink_target string"
 
 
@@ -26,9 +29,20 @@ def entry(root: str, full: str) -> tuple:
     return (name, 0 if folder else s.st_size, folder, s.st_mtime_ns, s.st_ctime_ns, s.st_ino, stat.S_IMODE(s.st_mode), link, os.readlink(full) if link else None)
 
 
+def root_excluded(root: str, exclude) -> bool:
+    """Whether a pattern excludes the root itself, so that nothing is scanned (A2)."""
+    return any(re.search(p, root) for p in exclude)
+
+
+def confirms_single_file(root: str, parent: DataFrame) -> bool:
+    """Whether the listing of the parent has the root as something other than a directory (A5)."""
+    name = os.path.basename(root.rstrip("/"))
+    return bool(parent.filter((F.col("path") == name) & ~F.col("is_dir")).limit(1).count())
+
+
 class Part(InputPartition):
-    def __init__(self, start, descend):
-        self.start, self.descend = start, descend
+    def __init__(self, starts, descend):
+        self.starts, self.descend = starts, descend
 
 
 class Reader(DataSourceReader):
@@ -39,13 +53,29 @@ class Reader(DataSourceReader):
         self.recursive, self.dirs, self.hidden = on("recursive", "false"), on("dirs", "true"), on("hidden", "true")
         self.skip, self.strict = o.get("errors", "fail") == "skip", on("strict", "false")
         self.exclude, self.include = (json.loads(o.get(k, "[]")) for k in ("exclude", "include"))
+        self.own = on("root", "false") and self.dirs and not (self.exclude or self.include)
+
+    def single(self) -> bool:
+        return os.path.islink(self.root) or not os.path.isdir(self.root)
 
     def partitions(self):
-        """One for the root's own entries, one for each directory in it."""
-        if os.path.islink(self.root) or not os.path.isdir(self.root):
-            return [Part(self.root, False)]
-        below = [d.path for d in os.scandir(self.root) if d.is_dir(follow_symlinks=False)] if self.recursive else []
-        return [Part(self.root, False), *(Part(d, True) for d in sorted(below) if self.enters(d))]
+        """The directories listed here by their own entries, the trees found below them dealt evenly. Listing
+        goes on breadth first, as a root may hold one deep tree."""
+        if root_excluded(self.root, self.exclude):
+            return [Part([], False)]
+        if self.single() or not self.recursive:
+            return [Part([self.root], False)]
+        listed, found = [], [self.root]
+        while found and len(listed) < SPLIT and len(found) < PARTS:
+            try:
+                below = sorted(d.path for d in os.scandir(found[0]) if d.is_dir(follow_symlinks=False))
+            except OSError:
+                if found[0] == self.root and not self.skip:
+                    raise
+                below = []
+            listed.append(found.pop(0))
+            found += [d for d in below if self.enters(d)]
+        return [*(Part([d], False) for d in listed), *(Part(found[k::PARTS], True) for k in range(min(PARTS, len(found))))]
 
     def matches(self, full: str, patterns) -> bool:
         return any(re.search(p, os.path.relpath(full, self.root)) for p in patterns)
@@ -57,10 +87,12 @@ class Reader(DataSourceReader):
         return not self.matches(full, self.exclude) and (not self.include or self.matches(full, self.include))
 
     def read(self, partition):
-        if os.path.islink(self.root) or not os.path.isdir(self.root):
+        if self.single() and partition.starts:
             yield entry(self.root, self.root)
             return
-        todo = [partition.start]
+        if self.own and self.root in partition.starts:
+            yield (".", *entry(self.root, self.root)[1:])
+        todo = list(partition.starts)
         while todo:
             try:
                 found = sorted(os.scandir(todo.pop()), key=lambda d: d.name)
