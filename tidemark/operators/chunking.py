@@ -69,8 +69,13 @@ def cuts(content: bytes, profile: Profile = Profile()) -> list[int]:
     return out
 
 
+def weak_hash(piece: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+
+
 def content_chunks(files: DataFrame, path_col: str, content_col: str, profile: Profile = Profile(), strong: bool = True) -> DataFrame:
-    """(path, idx, offset, length, weak, strong): all chunks of each value."""
+    """(path, idx, offset, length, weak, strong): all chunks of each value (I1, I2, I4, I9). For files too
+    large for a value, ``files.file_chunks`` gives the same chunks a window at a time."""
     kind = files.schema[path_col].dataType.simpleString()
 
     def run(batches):
@@ -81,8 +86,7 @@ def content_chunks(files: DataFrame, path_col: str, content_col: str, profile: P
                 start = 0
                 for i, end in enumerate(cuts(content, profile)):
                     piece = content[start:end]
-                    weak = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                    rows.append((path, i, start, end - start, weak, hashlib.sha256(piece).hexdigest() if strong else None))
+                    rows.append((path, i, start, end - start, weak_hash(piece), hashlib.sha256(piece).hexdigest() if strong else None))
                     start = end
             yield pd.DataFrame(rows, columns=["path", "idx", "offset", "length", "weak", "strong"])
 

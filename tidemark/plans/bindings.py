@@ -72,6 +72,14 @@ SELECT event_id, user_id, CASE event_id % 12 WHEN 0 THEN '[fatal] bad request' W
 FROM {events}""",
     "chunks": """
 SELECT doc_id, cast(pos AS BIGINT) AS idx, cast(octet_length({bytes:line}) AS BIGINT) AS length, {sha:line} AS strong, substring({sha:line}, 1, 6) AS weak FROM {lines}""",
+    "tree": """
+SELECT concat(r_name, '/', n_name, '.txt') AS path, 'F' AS kind, repeat(concat(n_name, ' of ', r_name, '.'), cast(3 + n_nationkey % 5 AS INT)) AS text, cast(NULL AS STRING) AS target, n_nationkey AS k FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT concat('links/', n_name), 'L', cast(NULL AS STRING), concat('../', r_name, '/', n_name, '.txt'), n_nationkey FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, 'D', cast(NULL AS STRING), cast(NULL AS STRING), r_regionkey FROM {region}
+UNION ALL SELECT concat('.', r_name), 'D', cast(NULL AS STRING), cast(NULL AS STRING), r_regionkey FROM {region}
+UNION ALL SELECT concat('.', r_name, '/', 'inner.log'), 'F', concat('log of ', r_name), cast(NULL AS STRING), r_regionkey FROM {region}
+UNION ALL SELECT concat('zero/', r_name), 'F', '', cast(NULL AS STRING), r_regionkey FROM {region}
+UNION ALL SELECT p, kind, text, target, 0 FROM (VALUES ('zero', 'D', cast(NULL AS STRING), cast(NULL AS STRING)), ('links', 'D', NULL, NULL), ('.notes', 'F', 'notes', NULL), ('readme', 'F', 'read me', NULL), ('latest', 'L', NULL, 'readme')) v(p, kind, text, target)""",
 }
 
 SPARK = {"bytes": "{}", "sha": "sha2({}, 256)", "json": "get_json_object({}, '$.{}')", "lines": "(SELECT doc_id, pos, line FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) p AS pos, line) lines"}

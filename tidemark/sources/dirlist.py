@@ -34,6 +34,12 @@ def root_excluded(root: str, exclude) -> bool:
     return any(re.search(p, root) for p in exclude)
 
 
+def single_file_candidate(root: str, found: DataFrame) -> bool:
+    """Whether the listing of the root is one row of its own name that is no directory (A4)."""
+    rows = found.select("path", "is_dir").limit(2).collect()
+    return len(rows) == 1 and not rows[0].is_dir and rows[0].path == os.path.basename(root.rstrip("/"))
+
+
 def confirms_single_file(root: str, parent: DataFrame) -> bool:
     """Whether the listing of the parent has the root as something other than a directory (A5)."""
     name = os.path.basename(root.rstrip("/"))
