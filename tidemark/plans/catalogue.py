@@ -570,4 +570,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: duck(sql) for name, (_, sql) in _QUERIES.items() if sql}
 
 
-from . import more, trees  # noqa: E402, F401  (registers its queries, which use the names above)
+from . import calls, more, trees  # noqa: E402, F401  (registers its queries, which use the names above)
