@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import chunking, manifest
-from ..sources import dirlist, files, sink
+from ..sources import dirlist, files, sink, transfer
 from .catalogue import query
 
 SIZE = "cast(CASE kind WHEN 'F' THEN length(text) WHEN 'L' THEN length(target) ELSE 0 END AS BIGINT)"
@@ -135,3 +135,14 @@ def tree_single_files(t):
     names = ("latest", "links", "readme", "zero")
     rows = [(n, dirlist.single_file_candidate(f"{root}/{n}", dirlist.listing(spark, f"{root}/{n}")), dirlist.confirms_single_file(f"{root}/{n}", parent)) for n in names]
     return spark.createDataFrame(rows, "name string, candidate boolean, confirmed boolean")
+
+
+@query("SELECT path, kind, CASE kind WHEN 'F' THEN sha256(text) WHEN 'L' THEN target END AS content, CASE WHEN kind = 'F' THEN 'new' END AS first_round, CAST(NULL AS VARCHAR) AS second_round FROM ({tree}) t")
+def tree_round(t):
+    """The tree is synchronised with an empty folder; a second round finds nothing to do."""
+    spark, root = planted(t)
+    dest = sink.new_folder(spark, "copy")
+    rounds = [transfer.transfer_round(spark, root, dest, profile=chunking.Profile(LENGTH, LENGTH, LENGTH), window=LENGTH).select("path", F.col("reason").alias(name)) for name in ("first_round", "second_round")]
+    found = shown(dirlist.listing(spark, dest, recursive=True))
+    found = found.join(files.file_hashes(found.filter("kind = 'F'"), dest).drop("bytes"), "path", "left").join(rounds[0], "path", "left").join(rounds[1], "path", "left")
+    return found.select("path", "kind", F.coalesce("hash", "target").alias("content"), "first_round", "second_round")

@@ -173,7 +173,7 @@ def into_tmp(rows: DataFrame, root: str, order: list, data, start) -> DataFrame:
                 start(full)
                 f = open(full + ".tmp", "r+b")
             outcome, piece = data(row)
-            if outcome == "Success":
+            if piece:
                 f.seek(row["dest_offset"])
                 f.write(piece)
             yield {"dest": name, "idx": row["idx"], "outcome": outcome, "bytes": len(piece)}
@@ -209,13 +209,35 @@ def move_chunks(moves: DataFrame, root: str) -> DataFrame:
 
 
 def publish(files: DataFrame, root: str) -> DataFrame:
-    """(path, bytes): each file's ``.tmp`` takes its name (A18); one that has it already stays."""
+    """(path, bytes): each file's ``.tmp`` takes its name (A18); one that has it already stays. Where there are
+    columns modified and mode, the file gets them."""
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64())])
 
     def one(row):
         full = inside(root, row["path"])
         if os.path.exists(full + ".tmp"):
             os.replace(full + ".tmp", full)
+        if row.get("mode") is not None:
+            os.chmod(full, row["mode"])
+        if row.get("modified") is not None:
+            os.utime(full, ns=(row["modified"], row["modified"]))
         yield {"path": row["path"], "bytes": os.path.getsize(full)}
 
-    return files.select("path").mapInArrow(lambda batches: rows_of(batches, one, schema), "path string, bytes long")
+    return files.select("path", *(c for c in ("modified", "mode") if c in files.columns)).mapInArrow(lambda batches: rows_of(batches, one, schema), "path string, bytes long")
+
+
+def remove(paths: DataFrame, root: str) -> DataFrame:
+    """(path): entries below the root go, directories with all that they hold; what is gone already is no error."""
+    schema = pa.schema([("path", pa.string())])
+
+    def one(row):
+        full = inside(root, row["path"])
+        if not row["path"].strip("/."):
+            raise OSError("invalid path")
+        if os.path.isdir(full) and not os.path.islink(full):
+            shutil.rmtree(full, ignore_errors=True)
+        elif os.path.lexists(full):
+            os.remove(full)
+        yield {"path": row["path"]}
+
+    return paths.select("path").mapInArrow(lambda batches: rows_of(batches, one, schema), "path string")
