@@ -65,7 +65,7 @@ def transfer_round(spark, source: str, dest: str, exclude=(), include=(), profil
     reason = F.when(F.lit(full), "full").when(F.col("d.kind").isNull() | (F.col("d.kind") != "F"), "new").when(~same, "changed")
     todo = stored(both.filter("n.kind = 'F'").select("path", "n.modified", "n.mode", F.col("n.size").alias("size"), reason.alias("reason")).filter("reason IS NOT NULL"), work)
     want = stored(files.file_chunks(todo.filter("size > 0"), source, profile, window), work)
-    old = there.filter("kind = 'F'")
+    old = there.filter(F.lit(want.limit(1).count() > 0) & (F.col("kind") == "F"))
     place = F.struct("path", "offset", "modified")
     have = files.file_chunks(old, dest, profile, window).join(old.select("path", "modified"), "path").groupBy("strong", "length").agg(F.min(place).alias("at"))
     tasks = stored(want.join(have, ["strong", "length"], "left").select(F.col("path").alias("dest"), "idx", F.col("offset").alias("dest_offset"), "length", "strong", F.col("at.path").alias("source"), F.col("at.offset").alias("offset"), F.col("at.modified").alias("modified")), work)
